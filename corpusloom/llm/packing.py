@@ -20,7 +20,7 @@ from .textvec import column
 VOCABULARY = "word_bpe_49k.json"
 MAX_CACHED = 600_000
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
-_RUN = re.compile("[^\t-\r \x85\xa0  -     　]+")
+_RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
 @dataclass(frozen=True)
