@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,7 +19,8 @@ from .scratch import stored
 from .textvec import column
 
 VOCABULARY = "word_bpe_49k.json"
-MAX_CACHED = 600_000
+MAX_CACHED = 500_000
+_LETTERS_SIGNS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
@@ -38,7 +40,8 @@ class PackParams:
 
 class _Words:
     """Ids (little-endian unsigned 32-bit) of runs of non-white characters. The tokenizer drops white space
-    before it splits, so a text's ids are those of its runs in order."""
+    before it splits, so a text's ids are those of its runs in order. A run of letters with signs after it is
+    looked up in two parts, as the tokenizer splits there too."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,22 +49,49 @@ class _Words:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.cache: dict[str, bytes] = {}
+        self.runs: list[dict[str, bytes]] = [{}, {}]  # in use, and the ones before it
+        self.parts: list[dict[str, bytes]] = [{}, {}]
+
+    def _fill(self, cache: list[dict[str, bytes]], keys: set[str], make) -> dict[str, bytes]:
+        """The newer generation of a cache with all ``keys`` in it."""
+        young, old = cache
+        if len(young) + len(keys) > MAX_CACHED:
+            young, old = {}, young
+            cache[:] = [young, old]
+            keys = keys | (old.keys() & keys)
+        missing = []
+        for k in keys:
+            if k not in young:
+                known = old.get(k)
+                if known is None:
+                    missing.append(k)
+                else:
+                    young[k] = known
+        if missing:
+            young.update(zip(missing, make(missing), strict=True))
+        return young
+
+    def _encode(self, keys: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for i in range(0, len(keys), 4096) for e in self.model.encode_batch_fast(keys[i : i + 4096], add_special_tokens=False)]
+
+    def _split_runs(self, runs: list[str]) -> list[bytes]:
+        halves = []
+        for r in runs:
+            m = _LETTERS_SIGNS.fullmatch(r) if "\u0130" not in r else None
+            halves.append((m[1].lower(), m[2]) if m else (r, ""))
+        known = self._fill(self.parts, {x for h in halves for x in h if x}, self._encode)
+        out = [known[a] + known[b] if b else known[a] for a, b in halves]
+        for k in [k for k in known if len(k) > 64] if any(len(a) > 64 for a, _ in halves) else ():
+            del known[k]
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
         split = [(t.split() if not _ODD_SPACE.search(t) else _RUN.findall(t)) if t else [] for t in texts]
-        cache = self.cache
-        missing = list({w for ws in split for w in ws if w not in cache})
-        for i in range(0, len(missing), 4096):
-            part = missing[i : i + 4096]
-            for w, e in zip(part, self.model.encode_batch(part, add_special_tokens=False), strict=True):
-                cache[w] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(cache.__getitem__, ws)) for ws in split]
-        for w in missing:
-            if len(w) > 64:
-                del cache[w]
+        distinct = set().union(*split)
+        known = self._fill(self.runs, distinct, self._split_runs)
+        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
+        for w in [w for w in distinct if len(w) > 64]:
+            del known[w]
         return out
 
 
