@@ -9,9 +9,9 @@ they come up. A pre-token of n bytes takes O(n log n) steps however long it is.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
-from heapq import heapify, heappop, heappush
 from pathlib import Path
 
 import numpy as np
@@ -20,82 +20,88 @@ import public_tokenizers
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .cache import Generations
 from .textvec import column
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 MAX_CACHED = 400_000
 
 
-class RankQueue:
-    """Positions by rank. ``pop`` gives the leftmost position of the lowest rank."""
-
-    def __init__(self, n_ranks: int):
-        self.shift = max(1, (n_ranks.bit_length() + 1) // 2)
-        self.mask = (1 << self.shift) - 1
-        self.top = 0
-        self.leaves: dict[int, int] = {}
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, pos: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket:
-            heappush(bucket, pos)
-            return
-        self.buckets[rank] = [pos]
-        high = rank >> self.shift
-        self.leaves[high] = self.leaves.get(high, 0) | 1 << (rank & self.mask)
-        self.top |= 1 << high
-
-    def pop(self) -> tuple[int, int]:
-        high = (self.top & -self.top).bit_length() - 1
-        leaf = self.leaves[high]
-        low = (leaf & -leaf).bit_length() - 1
-        rank = high << self.shift | low
-        bucket = self.buckets[rank]
-        pos = heappop(bucket)
-        if not bucket:
-            leaf &= leaf - 1
-            self.leaves[high] = leaf
-            if not leaf:
-                self.top &= self.top - 1
-        return rank, pos
-
-    def __bool__(self) -> bool:
-        return bool(self.top)
+_LEAF = 8  # ranks per leaf of the bitmap: 2**_LEAF
+_LOW = (1 << _LEAF) - 1
 
 
 def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token."""
-    whole = ranks.get(piece)
+    """Token ids of one pre-token: always the leftmost pair of the lowest rank is merged next."""
+    rank = ranks.get
+    whole = rank(piece)
     if whole is not None:
         return [whole]
     n = len(piece)
     end = list(range(1, n + 1))  # symbol at i is piece[i:end[i]]; the next symbol starts at end[i]
-    before = list(range(-1, n - 1))
-    rank_at = [-1] * n  # the rank under which position i counts just now; others are stale
-    queue = RankQueue(len(ranks))
-
-    def offer(i: int) -> None:
-        j = end[i]
-        r = ranks.get(piece[i : end[j]]) if j < n else None
-        rank_at[i] = -1 if r is None else r
-        if r is not None:
-            queue.push(r, i)
-
+    before = list(range(-1, n))
+    current = [-1] * n  # the rank under which position i counts just now; entries of others are stale
+    buckets: dict[int, list[int]] = {}
+    leaves: dict[int, int] = {}
+    top = 0
     for i in range(n - 1):
-        offer(i)
-    while queue:
-        r, i = queue.pop()
-        if rank_at[i] != r:
-            continue
-        j = end[i]
-        end[i] = end[j]
-        rank_at[j] = -1
-        if end[i] < n:
-            before[end[i]] = i
-        offer(i)
-        if before[i] >= 0:
-            offer(before[i])
+        r = rank(piece[i : i + 2])
+        if r is not None:
+            current[i] = r
+            if r in buckets:
+                buckets[r].append(i)
+            else:
+                buckets[r] = [i]
+                high = r >> _LEAF
+                leaves[high] = leaves.get(high, 0) | 1 << (r & _LOW)
+                top |= 1 << high
+    while top:
+        high = (top & -top).bit_length() - 1
+        leaf = leaves[high]
+        r = high << _LEAF | (leaf & -leaf).bit_length() - 1
+        leaf &= leaf - 1
+        leaves[high] = leaf
+        if not leaf:
+            top &= top - 1
+        bucket = buckets.pop(r)
+        if len(bucket) > 1:
+            bucket.sort()
+        for k, i in enumerate(bucket):
+            if current[i] != r:
+                continue
+            j = end[i]
+            stop = end[i] = end[j]
+            current[j] = -1
+            lower = False
+            if stop < n:
+                before[stop] = i
+                new = rank(piece[i : end[stop]])
+            else:
+                new = None
+            at = i
+            while True:  # the pair that starts here, then the one that ends here
+                if new is None:
+                    current[at] = -1
+                else:
+                    current[at] = new
+                    lower |= new < r
+                    if new in buckets:
+                        buckets[new].append(at)
+                    else:
+                        buckets[new] = [at]
+                        high = new >> _LEAF
+                        leaves[high] = leaves.get(high, 0) | 1 << (new & _LOW)
+                        top |= 1 << high
+                if at != i or before[i] < 0:
+                    break
+                at = before[i]
+                new = rank(piece[at:stop])
+            if lower and k + 1 < len(bucket):  # a lower rank came up: the rest of this bucket waits
+                buckets[r] = bucket[k + 1 :]
+                high = r >> _LEAF
+                leaves[high] = leaves.get(high, 0) | 1 << (r & _LOW)
+                top |= 1 << high
+                break
     out, i = [], 0
     while i < n:
         out.append(ranks[piece[i : end[i]]])
@@ -116,39 +122,31 @@ class Codec:
         self.runs = regex.compile(white(r" ?\S+|\s+(?!\S)|\s+")).findall
         # A run can be cut out first only if the pattern treats spaces as these runs do.
         self.by_run = pattern == public_tokenizers.PATTERN
-        self.cache: dict[str, bytes] = {}
-        self.piece_cache: dict[str, list[int]] = {}
-
-    def _run(self, run: str) -> bytes:
-        ids: list[int] = []
-        for piece in self.pieces(run):
-            known = self.piece_cache.get(piece)
-            if known is None:
-                known = merge(piece.encode("utf-8", "replace"), self.ranks)
-                if len(piece) <= 64:
-                    self.piece_cache[piece] = known
-            ids += known
-        return np.array(ids, np.int32).tobytes()
+        self.cache = Generations(self._encode_runs, MAX_CACHED)
+        self.piece_cache = Generations(self._merge, MAX_CACHED)
+
+    def _merge(self, pieces: list[str]) -> list[bytes]:
+        return [array("i", merge(p.encode("utf-8", "replace"), self.ranks)).tobytes() for p in pieces]
+
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+        split = [self.pieces(r) for r in runs]
+        distinct = set().union(*split)
+        known = self.piece_cache.fill(distinct)
+        out = [known[s[0]] if len(s) == 1 else b"".join(map(known.__getitem__, s)) for s in split]
+        self.piece_cache.forget_long(distinct)
+        return out
+
+    def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text; null and empty texts have none."""
+        split = [self.runs(t) if self.by_run else [t] if t else () for t in (t or "" for t in texts)]
+        distinct = set().union(*split)
+        known = self.cache.fill(distinct)
+        out = [np.frombuffer(b"".join(map(known.__getitem__, s)), np.int32) for s in split]
+        self.cache.forget_long(distinct)
+        return out
 
     def encode(self, text: str | None) -> np.ndarray:
-        """Ids of a text; null and empty texts have none."""
-        if not text:
-            return np.zeros(0, np.int32)
-        if not self.by_run:
-            return np.frombuffer(self._run(text), np.int32)
-        if len(self.cache) > MAX_CACHED:
-            self.cache.clear()
-        if len(self.piece_cache) > MAX_CACHED:
-            self.piece_cache.clear()
-        cache, out = self.cache, []
-        for run in self.runs(text):
-            ids = cache.get(run)
-            if ids is None:
-                ids = self._run(run)
-                if len(run) <= 64:
-                    cache[run] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), np.int32)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int] | None) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids or ()))
@@ -178,8 +176,7 @@ def _mapped(df: DataFrame, out: str, kind: T.DataType, f: Callable[[pa.RecordBat
 
 
 def _encode(batch: pa.RecordBatch, text: str, path: str | None, pattern: str | None) -> pa.Array:
-    encode = codec(path, pattern).encode
-    ids = [encode(t) for t in column(batch, text)]
+    ids = codec(path, pattern).encode_all(column(batch, text))
     offsets = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
 

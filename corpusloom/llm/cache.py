@@ -1,0 +1,35 @@
+"""A bounded cache that keeps what is in use: two generations, the older of which is dropped when the newer is full."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+
+class Generations:
+    """``make`` computes the values of a list of missing keys. At most about twice ``size`` entries are held."""
+
+    def __init__(self, make: Callable[[list[str]], list[bytes]], size: int):
+        self.make, self.size = make, size
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def fill(self, keys: set[str]) -> dict[str, bytes]:
+        """A dictionary that has all ``keys``."""
+        if len(self.young) + len(keys) > self.size:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        missing = []
+        for k in keys - young.keys():
+            known = old.get(k)
+            if known is None:
+                missing.append(k)
+            else:
+                young[k] = known
+        if missing:
+            young.update(zip(missing, self.make(missing), strict=True))
+        return young
+
+    def forget_long(self, keys: set[str], chars: int = 64) -> None:
+        """Drop the keys that are too long to be worth their memory."""
+        for k in [k for k in keys if len(k) > chars]:
+            del self.young[k]

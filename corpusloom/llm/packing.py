@@ -15,6 +15,7 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .cache import Generations
 from .scratch import stored
 from .textvec import column
 
@@ -49,27 +50,8 @@ class _Words:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.runs: list[dict[str, bytes]] = [{}, {}]  # in use, and the ones before it
-        self.parts: list[dict[str, bytes]] = [{}, {}]
-
-    def _fill(self, cache: list[dict[str, bytes]], keys: set[str], make) -> dict[str, bytes]:
-        """The newer generation of a cache with all ``keys`` in it."""
-        young, old = cache
-        if len(young) + len(keys) > MAX_CACHED:
-            young, old = {}, young
-            cache[:] = [young, old]
-            keys = keys | (old.keys() & keys)
-        missing = []
-        for k in keys:
-            if k not in young:
-                known = old.get(k)
-                if known is None:
-                    missing.append(k)
-                else:
-                    young[k] = known
-        if missing:
-            young.update(zip(missing, make(missing), strict=True))
-        return young
+        self.runs = Generations(self._split_runs, MAX_CACHED)
+        self.parts = Generations(self._encode, MAX_CACHED)
 
     def _encode(self, keys: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for i in range(0, len(keys), 4096) for e in self.model.encode_batch_fast(keys[i : i + 4096], add_special_tokens=False)]
@@ -79,19 +61,18 @@ class _Words:
         for r in runs:
             m = _LETTERS_SIGNS.fullmatch(r) if "\u0130" not in r else None
             halves.append((m[1].lower(), m[2]) if m else (r, ""))
-        known = self._fill(self.parts, {x for h in halves for x in h if x}, self._encode)
+        distinct = {x for h in halves for x in h if x}
+        known = self.parts.fill(distinct)
         out = [known[a] + known[b] if b else known[a] for a, b in halves]
-        for k in [k for k in known if len(k) > 64] if any(len(a) > 64 for a, _ in halves) else ():
-            del known[k]
+        self.parts.forget_long(distinct)
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t.split() if not _ODD_SPACE.search(t) else _RUN.findall(t)) if t else [] for t in texts]
         distinct = set().union(*split)
-        known = self._fill(self.runs, distinct, self._split_runs)
+        known = self.runs.fill(distinct)
         out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        for w in [w for w in distinct if len(w) > 64]:
-            del known[w]
+        self.runs.forget_long(distinct)
         return out
 
 

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+from . import warc
 from .bpe import op7_byte_bpe
 from .fingerprints import op1_document_fingerprints
 from .html import op2_html_extraction
 from .jaccard import op5_ngram_jaccard_join
 from .langid import op9_language_id
 from .lines import op10_line_dedup
+from .licenses import op4_license_scans
 from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_html_extraction, op3_quality_rules, op5_ngram_jaccard_join, op6_best_fit_packing, op7_byte_bpe, op9_language_id, op10_line_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints,
+        op2_html_extraction,
+        op3_quality_rules,
+        op4_license_scans,
+        op5_ngram_jaccard_join,
+        op6_best_fit_packing,
+        op7_byte_bpe,
+        warc.op8_warc,
+        op9_language_id,
+        op10_line_dedup,
+    )
+}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE}
