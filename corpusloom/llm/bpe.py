@@ -9,7 +9,6 @@ they come up. A pre-token of n bytes takes O(n log n) steps however long it is.
 from __future__ import annotations
 
 import base64
-from array import array
 from collections.abc import Callable, Iterator
 from functools import partial
 from pathlib import Path
@@ -27,86 +26,136 @@ DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
 MAX_CACHED = 400_000
 
 
-_LEAF = 8  # ranks per leaf of the bitmap: 2**_LEAF
+_LEAF = 8  # a leaf of the bitmap has 2**_LEAF ranks
 _LOW = (1 << _LEAF) - 1
+_TOGETHER = 1 << 20  # bytes of pre-tokens that share a queue, unless one alone is longer
+
+
+class Merger:
+    """Merges pre-tokens by a rank table. Many of them lie end to end in one buffer and share one queue; no pair
+    crosses from one to the next, so each is merged as if alone: always the leftmost pair of its lowest rank."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks = ranks
+        self.single = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int64)
+        self.joined = {}  # left rank and right rank to the rank of both together
+        for whole, r in ranks.items():
+            for cut in range(1, len(whole)):
+                a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
+                if a is not None and b is not None:
+                    self.joined[a << 32 | b] = r
+        self.pair = np.array([ranks.get(bytes([i, j]), -1) for i in range(256) for j in range(256)], np.int64)
+
+    def merge(self, pieces: list[bytes]) -> list[np.ndarray]:
+        """Token ids (int32) of each piece."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(pieces)
+        group: list[int] = []
+        size = 0
+        for i, p in enumerate(pieces):
+            whole = self.ranks.get(p)
+            if whole is not None:
+                out[i] = np.array([whole], np.int32)
+            elif p:
+                if size + len(p) > _TOGETHER and group:
+                    self._run(pieces, group, out)
+                    group, size = [], 0
+                group.append(i)
+                size += len(p)
+        if group:
+            self._run(pieces, group, out)
+        return out
 
-
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
-    """Token ids of one pre-token: always the leftmost pair of the lowest rank is merged next."""
-    rank = ranks.get
-    whole = rank(piece)
-    if whole is not None:
-        return [whole]
-    n = len(piece)
-    end = list(range(1, n + 1))  # symbol at i is piece[i:end[i]]; the next symbol starts at end[i]
-    before = list(range(-1, n))
-    current = [-1] * n  # the rank under which position i counts just now; entries of others are stale
-    buckets: dict[int, list[int]] = {}
-    leaves: dict[int, int] = {}
-    top = 0
-    for i in range(n - 1):
-        r = rank(piece[i : i + 2])
-        if r is not None:
-            current[i] = r
-            if r in buckets:
-                buckets[r].append(i)
-            else:
-                buckets[r] = [i]
-                high = r >> _LEAF
-                leaves[high] = leaves.get(high, 0) | 1 << (r & _LOW)
-                top |= 1 << high
-    while top:
-        high = (top & -top).bit_length() - 1
-        leaf = leaves[high]
-        r = high << _LEAF | (leaf & -leaf).bit_length() - 1
-        leaf &= leaf - 1
-        leaves[high] = leaf
-        if not leaf:
-            top &= top - 1
-        bucket = buckets.pop(r)
-        if len(bucket) > 1:
-            bucket.sort()
-        for k, i in enumerate(bucket):
-            if current[i] != r:
-                continue
-            j = end[i]
-            stop = end[i] = end[j]
-            current[j] = -1
-            lower = False
-            if stop < n:
-                before[stop] = i
-                new = rank(piece[i : end[stop]])
-            else:
+    def _run(self, pieces: list[bytes], group: list[int], out: list[np.ndarray]) -> None:
+        buf = b"".join(pieces[i] for i in group)
+        n = len(buf)
+        sizes = np.array([len(pieces[i]) for i in group])
+        stops = np.cumsum(sizes)
+        limit = np.repeat(stops, sizes).tolist()  # where the piece of a position ends
+        end = list(range(1, n + 1))  # the symbol at i is buf[i:end[i]]; the next one starts at end[i]
+        links = np.arange(-1, n)
+        links[stops - sizes] = -1
+        before = links.tolist()
+        raw = np.frombuffer(buf, np.uint8).astype(np.int64)
+        token = self.single[raw].tolist()
+        first = np.full(n, -1)
+        first[:-1] = self.pair[raw[:-1] << 8 | raw[1:]]
+        first[stops - 1] = -1
+        current = first.tolist()  # the rank under which a position counts; entries under another rank are stale
+        alive = bytearray(b"\1") * n
+
+        buckets: dict[int, list[int]] = {}
+        leaves: dict[int, int] = {}
+        top = 0
+        order = np.argsort(first, kind="stable")
+        order = order[np.searchsorted(first[order], 0) :]
+        for part in np.split(order, np.flatnonzero(np.diff(first[order])) + 1) if len(order) else ():
+            r = int(first[part[0]])
+            buckets[r] = part.tolist()
+            leaves[r >> _LEAF] = leaves.get(r >> _LEAF, 0) | 1 << (r & _LOW)
+            top |= 1 << (r >> _LEAF)
+        pair = self.joined.get
+        while top:
+            high = (top & -top).bit_length() - 1
+            leaf = leaves[high]
+            r = high << _LEAF | (leaf & -leaf).bit_length() - 1
+            bucket = buckets.pop(r)
+            if len(bucket) > 1:
+                bucket.sort()
+            leaf &= leaf - 1
+            leaves[high] = leaf
+            if not leaf:
+                top &= top - 1
+            waits, later = -1, []
+            for i in bucket:
+                if current[i] != r:
+                    continue
+                if limit[i] == waits:
+                    later.append(i)
+                    continue
+                j = end[i]
+                stop = end[i] = end[j]
+                token[i] = r
+                current[j] = -1
+                alive[j] = 0
                 new = None
-            at = i
-            while True:  # the pair that starts here, then the one that ends here
+                if stop < limit[i]:
+                    before[stop] = i
+                    new = pair(r << 32 | token[stop])
                 if new is None:
-                    current[at] = -1
+                    current[i] = -1
                 else:
-                    current[at] = new
-                    lower |= new < r
+                    current[i] = new
+                    if new < r:  # a lower rank came up: the rest of this piece waits
+                        waits = limit[i]
                     if new in buckets:
-                        buckets[new].append(at)
+                        buckets[new].append(i)
                     else:
-                        buckets[new] = [at]
-                        high = new >> _LEAF
-                        leaves[high] = leaves.get(high, 0) | 1 << (new & _LOW)
-                        top |= 1 << high
-                if at != i or before[i] < 0:
-                    break
+                        buckets[new] = [i]
+                        leaves[new >> _LEAF] = leaves.get(new >> _LEAF, 0) | 1 << (new & _LOW)
+                        top |= 1 << (new >> _LEAF)
                 at = before[i]
-                new = rank(piece[at:stop])
-            if lower and k + 1 < len(bucket):  # a lower rank came up: the rest of this bucket waits
-                buckets[r] = bucket[k + 1 :]
-                high = r >> _LEAF
-                leaves[high] = leaves.get(high, 0) | 1 << (r & _LOW)
-                top |= 1 << high
-                break
-    out, i = [], 0
-    while i < n:
-        out.append(ranks[piece[i : end[i]]])
-        i = end[i]
-    return out
+                if at >= 0:
+                    new = pair(token[at] << 32 | r)
+                    if new is None:
+                        current[at] = -1
+                    else:
+                        current[at] = new
+                        if new < r:
+                            waits = limit[i]
+                        if new in buckets:
+                            buckets[new].append(at)
+                        else:
+                            buckets[new] = [at]
+                            leaves[new >> _LEAF] = leaves.get(new >> _LEAF, 0) | 1 << (new & _LOW)
+                            top |= 1 << (new >> _LEAF)
+            if later:
+                buckets[r] = buckets.get(r, []) + later
+                leaves[r >> _LEAF] = leaves.get(r >> _LEAF, 0) | 1 << (r & _LOW)
+                top |= 1 << (r >> _LEAF)
+        kept = np.flatnonzero(np.frombuffer(alive, np.uint8))
+        ids = np.array(token, np.int32)[kept]
+        for i, part in zip(group, np.split(ids, np.searchsorted(kept, stops[:-1])), strict=True):
+            out[i] = part
 
 
 class Codec:
@@ -117,6 +166,7 @@ class Codec:
         lines = Path(path).read_bytes().splitlines()
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
         self.bytes = {v: k for k, v in self.ranks.items()}
+        self.merger = Merger(self.ranks)
         white = lambda p: p.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(white(pattern)).findall
         self.runs = regex.compile(white(r" ?\S+|\s+(?!\S)|\s+")).findall
@@ -126,7 +176,7 @@ class Codec:
         self.piece_cache = Generations(self._merge, MAX_CACHED)
 
     def _merge(self, pieces: list[str]) -> list[bytes]:
-        return [array("i", merge(p.encode("utf-8", "replace"), self.ranks)).tobytes() for p in pieces]
+        return [ids.tobytes() for ids in self.merger.merge([p.encode("utf-8", "replace") for p in pieces])]
 
     def _encode_runs(self, runs: list[str]) -> list[bytes]:
         split = [self.pieces(r) for r in runs]
@@ -148,8 +198,14 @@ class Codec:
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
-    def decode(self, ids: list[int] | None) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids or ()))
+    def decode_all(self, ids: pa.ListArray) -> list[bytes]:
+        """The bytes of each list of ids; a null list counts as empty."""
+        flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), 0
+        look, out = self.bytes.__getitem__, []
+        for n in ids.value_lengths().fill_null(0).to_pylist():
+            out.append(b"".join(map(look, flat[at : at + n])))
+            at += n
+        return out
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -182,8 +238,8 @@ def _encode(batch: pa.RecordBatch, text: str, path: str | None, pattern: str | N
 
 
 def _decode(batch: pa.RecordBatch, ids: str, path: str | None, pattern: str | None) -> pa.Array:
-    decode = codec(path, pattern).decode
-    return pa.array([decode(x) for x in column(batch, ids)], pa.binary())
+    lists = batch.column(batch.schema.get_field_index(ids))
+    return pa.array(codec(path, pattern).decode_all(lists), pa.binary())
 
 
 def encode(df: DataFrame, text: str = "text", out: str = "ids", path: str | None = None, pattern: str | None = None) -> DataFrame:

@@ -124,8 +124,9 @@ def with_next(df: DataFrame, key: str, columns: list[str], p: SketchParams = Ske
         rows = rows.withColumn("_v", F.explode(F.when(visit.isNotNull(), F.array(stay, go)).otherwise(F.array(stay)))).drop("_b")
     else:
         rows = rows.withColumn("_v", F.struct(F.lit(0).alias("b"), F.lit(0).alias("guest"))).drop("_b")
-    w = Window.partitionBy("_v.b").orderBy("_v.guest", "_o", "_t")
-    return rows.select(*df.columns, "_v", "_o", "_t", *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
+    rows = rows.select(*df.columns, F.col("_v.b").alias("_b"), F.col("_v.guest").alias("_guest"), "_o", "_t")
+    w = Window.partitionBy("_b").orderBy("_guest", "_o", "_t")
+    return rows.select(*rows.columns, *[F.lead(c).over(w).alias(f"next_{c}") for c in columns])
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: SketchParams = SketchParams()) -> DataFrame:
@@ -134,11 +135,11 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
     both = with_next(base, "doc_id", ["text"], p)
     part = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 4) as int))"), F.substring("next_text", F.lit(1), part))
-    w = Window.partitionBy("_v.b").orderBy("_v.guest", "_o", "_t")
-    made = both.select("doc_id", "_v", "_o", "_t", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text"), p).alias("sketch"), edited.alias("edited"))
+    w = Window.partitionBy("_b").orderBy("_guest", "_o", "_t")
+    made = both.select("doc_id", "_b", "_guest", "_o", "_t", F.length("text").cast("long").alias("n_chars"), sketch(F.col("text"), p).alias("sketch"), edited.alias("edited"))
     return (
         made.select("*", F.lead("sketch").over(w).alias("next_sketch"))
-        .where("_v.guest = 0")
+        .where("_guest = 0")
         .select("doc_id", "n_chars", "edited", "sketch", sketch(F.col("edited"), p).alias("edited_sketch"), "next_sketch")
     )
 
