@@ -1,0 +1,6 @@
+"""Every query of the library with its oracle."""
+
+from . import documents
+from .registry import ORACLES, QUERIES
+
+flagship = documents.c5_sections
