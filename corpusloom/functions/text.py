@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 # Words and patterns of the query rules.
@@ -20,6 +22,11 @@ TOPIC_STOP_WORDS = ("a", "an", "and", "are", "be", "can", "do", "does", "for", "
 TOPIC_SUFFIXES = ("ing", "ed", "es", "s")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def normalise(c: Column) -> Column:
     """One space for each run of white space, none at either end; null counts as empty."""
     return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))

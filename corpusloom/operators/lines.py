@@ -59,7 +59,7 @@ def reading_order(lines: DataFrame, share: float = 0.20, within: float = 4.0) ->
     joined = with_columns.join(mode, ["doc", "page_number"])
     # Rows: the topmost line not yet taken opens one, and takes all lines within reach.
     ys = joined.groupBy("doc", "page_number").agg(F.array_sort(F.collect_list("y0")).alias("ys"))
-    bands = F.aggregate("ys", F.array().cast("array<double>"), lambda acc, y: F.when((F.size(acc) == 0) | (y - F.element_at(acc, -1) >= within), F.array_append(acc, y)).otherwise(acc))
+    bands = F.aggregate("ys", F.array().cast("array<double>"), lambda acc, y: F.when((F.size(acc) == 0) | (y - F.try_element_at(acc, F.lit(-1)) >= within), F.array_append(acc, y)).otherwise(acc))
     row = joined.join(ys.select("doc", "page_number", bands.alias("bands")), ["doc", "page_number"]).withColumn("band", F.size(F.filter("bands", lambda v: v <= F.col("y0"))))
     many = F.col("n_columns") > 1
     first = F.when(many & F.col("by_rows"), F.col("band").cast("double")).when(many, F.col("column_no").cast("double")).otherwise(F.col("y0"))
