@@ -7,11 +7,12 @@ gives resemblance, containment and the number of distinct shingles. Below k shin
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -26,11 +27,6 @@ class SketchParams:
     max_buckets: int = 2000
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.transform(F.array(value), body)[0]
-
-
 def words(text: Column) -> Column:
     """A-Z lower-cased words between runs of space and TAB to CR; none for null and empty texts."""
     trimmed = F.trim(F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(_SPACE))

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .textvec import column, mix
+from .textvec import column, mix, slices
 
 SYMBOLS = 128
 
@@ -85,9 +85,9 @@ def bundles(texts: list[str | None], p: HdParams, letters: np.ndarray) -> tuple[
         doc = np.repeat(np.arange(len(grams)), size)
         counts = np.bincount(doc * len(ids) + place[flat], minlength=len(grams) * len(ids)).reshape(len(grams), -1).astype(np.float32)
         v = np.zeros((len(grams), p.dims), np.float32)
-        for k in range(0, len(ids), 16384):
-            g = ids[k : k + 16384]
-            v += counts[:, k : k + 16384] @ (letters[0][g // SYMBOLS**2] * letters[1][g // SYMBOLS % SYMBOLS] * letters[2][g % SYMBOLS])
+        for k in range(0, len(ids), 4096):
+            g = ids[k : k + 4096]
+            v += counts[:, k : k + 4096] @ (letters[0][g // SYMBOLS**2] * letters[1][g // SYMBOLS % SYMBOLS] * letters[2][g % SYMBOLS])
         norm = np.linalg.norm(v, axis=1, keepdims=True)
         out[at : at + len(grams)] = v / np.maximum(norm, 1e-9)
         has[at : at + len(grams)] = size > 0
@@ -100,7 +100,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", p: HdPara
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = _vectors(p), {}
-        for b in batches:
+        for b in slices(batches):
             langs = column(b, lang)
             v, has = bundles(column(b, text), p, letters)
             for name in set(langs):
@@ -132,7 +132,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _vectors(p)
-        for b in batches:
+        for b in slices(batches):
             v, has = bundles(column(b, text), p, letters)
             v = v - mean
             cos = (v @ centred.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)

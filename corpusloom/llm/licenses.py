@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .textvec import Block, blocks, column, mix, words
+from .textvec import Block, blocks, column, mix, slices, words
 
 # Notices as their licenses ask for them.
 TEMPLATES = (
@@ -150,7 +150,7 @@ def license_matches(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(list(templates), p)
-        for b in batches:
+        for b in slices(batches):
             ids, at, rows = column(b, doc_id), 0, []
             for block in blocks(column(b, text)):
                 rows += [(ids[at + d], scanner.names[t], s, k) for d, t, s, k in scanner.scan(block)]

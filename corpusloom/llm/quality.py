@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .scratch import small_enough, stored
-from .textvec import Block, blocks, column, words
+from .textvec import Block, blocks, column, slices, words
 
 # Fixed values of the base rule.
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -111,7 +111,7 @@ def with_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
         schema = schema.add(m, "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = text_metrics(column(b, text))
             yield pa.RecordBatch.from_arrays([*b.columns, *(pa.array(found[m]) for m in METRICS)], [*b.schema.names, *METRICS])
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 _P = 0x9E3779B97F4A7C15 | 1
 _P_INV = pow(_P, -1, 1 << 64)
 _powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,11 +60,17 @@ class Block:
         return np.searchsorted(self.bounds, starts, side="right") - 1
 
     def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        up = np.zeros(len(raw) + 1, np.uint64)
-        np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _power("up", len(raw)), out=up[1:])
-        return mix((up[ends] - up[starts]) * _power("down", len(raw))[starts])
+        """64-bit hashes of ``raw[starts[i]:ends[i]]`` (ascending, disjoint), a stretch of about BLOCK_BYTES at a time."""
+        out = np.zeros(len(starts), np.uint64)
+        i = 0
+        while i < len(starts):
+            k = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+            a, b = starts[i], ends[k - 1]
+            sums = np.zeros(b - a + 1, np.uint64)
+            np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * _power("up", b - a), out=sums[1:])
+            out[i:k] = mix((sums[ends[i:k] - a] - sums[starts[i:k] - a]) * _power("down", b - a)[starts[i:k] - a])
+            i = k
+        return out
 
 
 def is_space(raw: np.ndarray) -> np.ndarray:
@@ -134,3 +140,10 @@ def shingle_sets(block: Block, n: int = 5) -> list[np.ndarray]:
 
 def column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a task builds from one stays small."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
