@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..functions import text as fx
 
@@ -102,14 +102,17 @@ def shingles(c: Column, n: int) -> Column:
     return fx.let(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), of)
 
 
-@F.pandas_udf("double")
-def partial_ratio(needle: pd.Series, hay: pd.Series) -> pd.Series:
+def partial_ratio(needle: str, hay: str) -> Column:
     """Matched characters relative to the needle's length."""
 
     def one(a: str, b: str) -> float:
         return sum(m.size for m in SequenceMatcher(None, b, a, autojunk=False).get_matching_blocks()) / max(1, len(a))
 
-    return pd.Series([one(a, b) for a, b in zip(needle, hay, strict=True)])
+    @F.pandas_udf(T.DoubleType())
+    def ratio(needles: pd.Series, hays: pd.Series) -> pd.Series:
+        return pd.Series([one(a, b) for a, b in zip(needles, hays, strict=True)], dtype="float64")
+
+    return ratio(needle, hay)
 
 
 def _pairs(sources: DataFrame, chunks: DataFrame, words: int, min_share: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """Every query of the library with its oracle."""
 
-from . import documents, history, retrieval
+from . import documents, history, more, retrieval
 from .registry import ORACLES, QUERIES
 
 
