@@ -42,13 +42,14 @@ class Block:
 @dataclass(frozen=True)
 class LabellerParams:
     """``pages``: bound of the training sample (chosen by hash over all pages). ``blocks``: pages with more blocks aren't
-    trained on. ``hidden``: cells in each direction. ``copies``: rewrapped copies of each sampled page."""
+    trained on. ``hidden``: cells in each direction. ``copies``: rewrapped copies of each sampled page. ``steps``: least number of updates, for small samples."""
 
     pages: int = 250
     blocks: int = 400
     hidden: int = 16
-    copies: int = 2
-    epochs: int = 12
+    copies: int = 4
+    epochs: int = 14
+    steps: int = 500
     rate: float = 0.02
     seed: int = 7
     batch: int = 32
@@ -304,7 +305,7 @@ def _rewrapped(page: list[Block], y: list[int], rng: np.random.Generator) -> tup
             ("form div", 2, 3, False), ("form label", 2, 2, False), ("section.comments div.comment p", 4, 40, False), ("div.comments ol li p", 3, 30, False), ("div.ad p", 1, 12, False),
             ("div.related ul li", 4, 8, True), ("header div", 2, 4, True), ("div.share a", 2, 2, True), ("div.newsletter p", 1, 15, False),
         ):
-            if rng.random() < 0.15:
+            if rng.random() < 0.3:
                 add(path, int(rng.integers(1, n + 1)), k, linked)
 
     extra("before")
@@ -336,7 +337,7 @@ def train(html: list[str | None], p: LabellerParams = LabellerParams()) -> Label
     m1 = {k: np.zeros_like(v) for k, v in model.w.items()}
     m2 = {k: np.zeros_like(v) for k, v in model.w.items()}
     step = 0
-    for _ in range(p.epochs):
+    for _ in range(max(p.epochs, -(-p.steps // len(batches)))):
         for k in rng.permutation(len(batches)):
             x, mask = _padded([xs[i] for i in batches[k]])
             y = np.zeros(mask.shape, np.float32)
