@@ -49,8 +49,8 @@ class LabellerParams:
     hidden: int = 16
     copies: int = 4
     epochs: int = 14
-    steps: int = 500
-    rate: float = 0.02
+    steps: int = 700
+    rate: float = 0.01
     seed: int = 7
     batch: int = 32
 
