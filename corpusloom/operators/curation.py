@@ -149,3 +149,22 @@ def overlap(answer: Column, source: Column) -> Column:
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))
     a = F.array_except(words(answer), F.array(*map(F.lit, OVERLAP_STOP)))
     return F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, words(source))) / F.size(a), 6)).otherwise(0.0)
+
+
+def candidate_records(ranked: DataFrame, answers: DataFrame) -> DataFrame:
+    """Golden candidates from each question's best passage; unverified."""
+    top = ranked.where("rank = 1").join(answers.select("query_id", "answer"), "query_id")
+    return top.select("query_id", F.col("question").alias("query"), F.array("chunk_id").alias("relevant_chunk_ids"), F.col("answer").alias("reference_answer"), F.col("text").alias("source_text"), F.lit(False).alias("verified"), F.lit("query candidate").alias("provenance"))
+
+
+def normalised_records(records: DataFrame, chunks: DataFrame, least: float = 0.60) -> DataFrame:
+    """Records ready for evaluation: those with a known id keep it, others take the chunk their source aligns with; ``error``
+    says why a record cannot be used. Records are (row_key, query, reference_answer, source_text, relevant_chunk_ids)."""
+    known = records.select("row_key", F.explode("relevant_chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id"), "chunk_id", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("chunk_id")).alias("known"))
+    rest = records.join(known, "row_key", "left_anti").where(F.trim(F.coalesce("source_text", F.lit(""))) != "").select(F.col("row_key").alias("source_id"), F.col("source_text").alias("text"))
+    found = aligned(rest, chunks, least).where("chunk_id is not null").select(F.col("source_id").alias("row_key"), F.array("chunk_id").alias("found"))
+    j = records.join(known, "row_key", "left").join(found, "row_key", "left")
+    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
+    ids = F.coalesce("known", "found")
+    error = F.when(blank("query"), "no question").when(blank("reference_answer"), "no answer").when(ids.isNull(), "no chunk")
+    return j.withColumn("relevant_chunk_ids", ids).withColumn("error", error).drop("known", "found")

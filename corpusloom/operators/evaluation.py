@@ -56,3 +56,11 @@ def registry_summary(metrics: DataFrame, registry: DataFrame) -> DataFrame:
     """(name, value) of every registered metric; N/A where the map lacks it."""
     flat = metrics.select(F.explode("metrics").alias("name", "v"))
     return registry.join(flat, "name", "left").select("name", F.coalesce(F.col("v").cast("string"), F.lit("N/A")).alias("value"))
+
+
+def example_rows(golden: DataFrame, ranked: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, retrieved_chunk_ids, contexts, answer) of every golden question, passages in rank order."""
+    got = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "text"))).alias("p"))
+    j = golden.select("query_id").join(got, "query_id", "left").join(answers.select("query_id", "answer"), "query_id", "left")
+    none = F.array().cast("array<string>")
+    return j.select("query_id", F.coalesce(F.transform("p", lambda s: s["chunk_id"]), none).alias("retrieved_chunk_ids"), F.coalesce(F.transform("p", lambda s: s["text"]), none).alias("contexts"), "answer")

@@ -82,3 +82,8 @@ def phase_report(logs: DataFrame, names: tuple[str, ...] = ("retrieve", "rerank"
     """(job_id, phase, done, total) of every phase that a log mentions."""
     rows = logs.select("job_id", F.explode(F.array(*[F.struct(F.lit(n).alias("phase"), last_marker(F.col("log"), n).alias("m")) for n in names])).alias("p"))
     return rows.where("p.m is not null").select("job_id", "p.phase", "p.m.done", "p.m.total")
+
+
+def listing(jobs: DataFrame, skipped: tuple[str, ...] = ("cache", "eval")) -> DataFrame:
+    """Job records, newest first, without files of other kinds."""
+    return jobs.where(~F.coalesce("kind", F.lit("")).isin(*skipped)).orderBy(F.desc("created_at"), "id")

@@ -175,3 +175,17 @@ def marked_keywords(question: Column, text: Column, least: int = 4, most: int =
     words = F.slice(F.array_distinct(F.filter(terms(question), lambda t: F.length(t) >= least)), 1, most)
     pattern = F.concat(F.lit(r"(?i)\b("), F.array_join(words, "|"), F.lit(r")\b"))
     return F.when(F.size(words) > 0, F.regexp_replace(text, pattern, F.lit("*$1*"))).otherwise(text)
+
+
+def pair_scored(candidates: DataFrame, scorer, question: str = "question", text: str = "text") -> DataFrame:
+    """Adds ``rerank_score`` from any function of two pandas Series (questions, passages). The function is called once for
+    each Arrow batch; a model can be loaded on its first call in a worker."""
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    def run(frames):
+        for f in frames:
+            yield f.assign(rerank_score=pd.Series(scorer(f[question], f[text])).astype("float64").to_numpy())
+
+    base = candidates.drop("rerank_score")
+    return base.mapInPandas(run, T.StructType([*base.schema, T.StructField("rerank_score", T.DoubleType())]))

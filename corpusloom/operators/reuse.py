@@ -71,3 +71,21 @@ def assisted(requests: DataFrame, responses: DataFrame, least: float = 0.72) ->
 
 def retained(responses: DataFrame, newest: int = 200) -> DataFrame:
     return responses.orderBy(F.desc("created_at"), "response_id").limit(newest)
+
+
+# The settings of a retrieval key.
+RETRIEVAL_SETTINGS = (
+    "collection", "complex", "embedding_model", "heavy_reranker_model", "hybrid_alpha", "light_reranker_model", "query", "relevance_threshold",
+    "retrieve_k", "revision", "top_n",
+)
+
+
+def retrieval_key(df: DataFrame) -> Column:
+    return digest(*[(F.col(n) if n in df.columns else F.lit(None).cast("string")).alias(n) for n in RETRIEVAL_SETTINGS])
+
+
+def answer_keys(ranked: DataFrame, prompt: str, model: str) -> DataFrame:
+    """(query_id, key) from the prompt, the model and a question's passages in order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"])
+    e = ranked.groupBy("query_id").agg(texts.alias("evidence"))
+    return e.select("query_id", digest(F.col("evidence"), F.lit(model).alias("model"), F.lit(prompt).alias("prompt")).alias("key"))

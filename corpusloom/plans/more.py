@@ -10,13 +10,13 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, curation as cu, evaluation as ev, imports, lines as ln, reuse, supplements as su
+from ..operators import chunking, curation as cu, evaluation as ev, imports, jobs, lines as ln, retrieval as rt, reuse, supplements as su
 from ..sources import files
 from ..streaming import jobs as streams
 from .documents import CHUNKS_SQL, LINES_SQL, TOKENS, chunks, page_lines
 from .history import GOLD_SQL, golden
 from .registry import query, table
-from .retrieval import requests
+from .retrieval import CAND_SQL, candidates, questions, requests
 
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
@@ -273,3 +273,65 @@ def g6_optimise_dataset(spark, sf_dir):
     """Golden records realigned at 0.80: (source_id, chunk_id, score, status)."""
     c = chunks(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
     return cu.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c, 0.80)
+
+
+@query("""WITH p AS (SELECT doc_id AS doc, n FROM documents, (SELECT unnest(range(3)) AS n)) SELECT doc, '5.' || (doc % 9) AS clause_number, string_agg('IG' || (n + 1), ',' ORDER BY n) AS groups FROM p WHERE (doc + n) % 2 = 0 GROUP BY doc""")
+def c6_table_annotations(spark, sf_dir):
+    """Each document as one page of a table: three labels, a clause and a mark under every second label."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    cell = lambda no, text, x: F.struct(F.lit(no).alias("line_no"), text.alias("text"), F.lit(x).alias("x0"))
+    labels = [cell(n, F.lit(f"IG{n + 1}"), 100.0 * n) for n in range(3)]
+    marks = [cell(10 + n, F.when((F.col("doc") + n) % 2 == 0, "x").otherwise("-"), 100.0 * n + 5) for n in range(3)]
+    rows = F.explode(F.array(*labels, cell(5, F.concat(F.lit("5."), (F.col("doc") % 9).cast("string"), F.lit(" Clause")), 300.0), *marks))
+    lines = d.select("doc", F.lit(1).alias("page_number"), rows.alias("r")).select("doc", "page_number", "r.*")
+    return chunking.table_annotations(lines).select("doc", "clause_number", F.array_join("applicable_groups", ",").alias("groups"))
+
+
+@query(f"WITH {CLAUSE_SQL} SELECT doc, piece, row_number() OVER (PARTITION BY doc ORDER BY piece) - 1 AS chunk_index, CASE WHEN clause IS NULL THEN 'narrative' ELSE 'clause' END AS element_type, {TOKENS} AS token_count FROM pieces WHERE text <> ''")
+def c15_chunk_metadata(spark, sf_dir):
+    return chunking.chunk_metadata(chunking.clause_pieces(_clause_lines(spark, sf_dir)), ["piece"]).select("doc", "piece", "chunk_index", "element_type", "token_count")
+
+
+@query("WITH j AS (SELECT event_id AS id, event_type AS kind, ts FROM events WHERE event_type <> 'click') SELECT id, kind FROM j ORDER BY ts DESC, id")
+def j10_job_listing(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.col("ts").alias("created_at"))
+    return jobs.listing(e, ("click",)).select("id", "kind")
+
+
+@query("WITH " + CAND_SQL + " SELECT query_id, chunk_id, CAST(length(question) + length(text) AS DOUBLE) AS rerank_score FROM cand")
+def r14_pair_scoring(spark, sf_dir):
+    """A scorer of lengths in a model's place."""
+    scored = rt.pair_scored(candidates(spark, sf_dir), lambda q, t: q.str.len() + t.str.len())
+    return scored.select("query_id", "chunk_id", "rerank_score")
+
+
+@query("WITH " + CAND_SQL + " SELECT query_id, string_agg(chunk_id, ',' ORDER BY rank) AS retrieved, count(*) AS contexts, 'answer ' || query_id AS answer FROM cand WHERE rank <= 5 GROUP BY query_id")
+def e9_example_rows(spark, sf_dir):
+    q = questions(spark, sf_dir)
+    answers = q.withColumn("answer", F.concat(F.lit("answer "), F.col("query_id").cast("string")))
+    rows = ev.example_rows(q, candidates(spark, sf_dir).where("rank <= 5"), answers)
+    return rows.select("query_id", F.array_join("retrieved_chunk_ids", ",").alias("retrieved"), F.size("contexts").cast("long").alias("contexts"), "answer")
+
+
+@query("WITH " + CAND_SQL + " SELECT query_id, question AS query, chunk_id, text AS source_text FROM cand WHERE rank = 1")
+def g8_candidate_records(spark, sf_dir):
+    answers = questions(spark, sf_dir).withColumn("answer", F.lit("A"))
+    return cu.candidate_records(candidates(spark, sf_dir), answers).select("query_id", "query", F.get("relevant_chunk_ids", F.lit(0)).alias("chunk_id"), "source_text")
+
+
+@query()
+def g18_normalised_records(spark, sf_dir):
+    """Benchmark passages as imported records: every third names a chunk that exists, the others are aligned."""
+    c = chunks(spark, sf_dir).select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")
+    b = table(spark, sf_dir, "benchmark")
+    ids = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("1-0"))).otherwise(F.array(F.lit("none")))
+    r = b.select(F.col("item_id").alias("row_key"), F.left("text", F.lit(40)).alias("query"), F.col("text").alias("reference_answer"), F.col("text").alias("source_text"), ids.alias("relevant_chunk_ids"))
+    return cu.normalised_records(r, c).select("row_key", "relevant_chunk_ids", "error")
+
+
+@query()
+def a9_answer_keys(spark, sf_dir):
+    """Retrieval and answer keys of the questions."""
+    c = candidates(spark, sf_dir).where("rank <= 5")
+    q = questions(spark, sf_dir).withColumnRenamed("question", "query")
+    return q.select("query_id", reuse.retrieval_key(q).alias("retrieval_key")).join(reuse.answer_keys(c, "Answer from the passages.", "model"), "query_id")
