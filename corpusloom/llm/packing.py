@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .cache import Generations
 from .scratch import stored
-from .textvec import column
+from .textvec import column, release
 
 VOCABULARY = "word_bpe_49k.json"
 MAX_CACHED = 500_000
@@ -50,7 +50,7 @@ class _Words:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.runs = Generations(self._split_runs, MAX_CACHED)
+        self.runs = Generations(self._split_runs, MAX_CACHED * 4 // 5)
         self.parts = Generations(self._encode, MAX_CACHED)
 
     def _encode(self, keys: list[str]) -> list[bytes]:
@@ -86,6 +86,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = path or public_tokenizers.path(VOCABULARY)
         if name not in _models:
+            release()  # the caches take the place of what earlier stages have left
             _models[name] = _Words(name)
         end = np.array([p.end_id], "<u4").tobytes()
         step = p.capacity * 4

@@ -6,6 +6,8 @@ compared by 64-bit polynomial hashes, finished with an avalanche step.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -147,3 +149,11 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+
+
+def release() -> None:
+    """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
