@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as fx
@@ -40,11 +42,17 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def vector_scores(queries: DataFrame, passages: DataFrame, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, passage_id, score) of a stated, bounded set of questions (query_id, q) against all passages (passage_id, v)."""
-    if queries.limit(max_queries + 1).count() > max_queries:
-        raise ValueError(f"more than {max_queries} questions in one batch")
-    pairs = passages.crossJoin(F.broadcast(queries)).where(F.size("q") == F.size("v"))
-    return pairs.select("query_id", "passage_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+    """(query_id, passage_id, score) of all questions (query_id, q) against all passages (passage_id, v). More than
+    ``max_queries`` questions are broadcast in parts of about so many."""
+    n = queries.count()
+    parts = -(-n // max_queries) or 1
+
+    def scores(asked: DataFrame) -> DataFrame:
+        pairs = passages.crossJoin(F.broadcast(asked)).where(F.size("q") == F.size("v"))
+        return pairs.select("query_id", "passage_id", F.round(cosine(F.col("q"), F.col("v")), 6).alias("score"))
+
+    part = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    return reduce(DataFrame.unionByName, [scores(queries if parts == 1 else queries.where(part == i)) for i in range(parts)])
 
 
 def fused(vector: DataFrame, keyword: DataFrame, alpha: float, key: str) -> DataFrame:
