@@ -52,7 +52,7 @@ def s13_quarantine(spark, sf_dir):
 
 def spans(spark, sf_dir) -> DataFrame:
     """Words of the lines as spans; every fifth word lies over the one before it."""
-    words = page_lines(spark, sf_dir).where("line_no < 20").select("doc", "page_number", "line_no", F.posexplode(F.split("text", " ")).alias("span_no", "text"))
+    words = page_lines(spark, sf_dir).select("doc", "page_number", "line_no", F.posexplode(F.split("text", " ")).alias("span_no", "text"))
     at = F.when(F.col("span_no") % 5 == 4, F.col("span_no") - 1).otherwise(F.col("span_no"))
     return words.select("*", (at * 10.0).alias("x0"), (at * 10.0 + 9).alias("x1"), F.lit(0.0).alias("y0"), F.lit(9.0).alias("y1"), F.when(F.length("text") % 2 == 0, 12.0).otherwise(10.0).alias("font_size"), (F.col("span_no") == 0).alias("is_bold"))
 

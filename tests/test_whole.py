@@ -20,3 +20,9 @@ def test_questions_in_parts(spark):
     v = q.select(F.col("query_id").alias("passage_id"), F.col("q").alias("v"))
     whole = retrieval.vector_scores(q, v).collect()
     assert len(whole) == 49 and sorted(retrieval.vector_scores(q, v, 2).collect()) == sorted(whole)
+
+
+def test_spans_of_every_line(spark, tmp_path):
+    spark.createDataFrame([(1, "\n".join(f"line {i} words" for i in range(47)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("l1_span_overlaps", "l2_line_assembly"):
+        assert {r.line_no for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(range(47))
