@@ -1,5 +1,7 @@
 """Cases where a query once did less than the whole job."""
 
+from statistics import median
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import retrieval
@@ -26,3 +28,14 @@ def test_spans_of_every_line(spark, tmp_path):
     spark.createDataFrame([(1, "\n".join(f"line {i} words" for i in range(47)))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     for name in ("l1_span_overlaps", "l2_line_assembly"):
         assert {r.line_no for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(range(47))
+
+
+def test_all_events_are_jobs(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").collect()
+    kinds = {}
+    for e in events:
+        kinds.setdefault(e.event_type, {})[e.event_id] = e.value
+    want = {i: round(median(v for k, v in ds.items() if k != i), 6) for ds in kinds.values() for i in ds if len(ds) > 1}
+    got = {r.id: r.median_seconds for r in QUERIES["j3_median_durations"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
+    assert {r.id for r in QUERIES["j5_progress"](spark, sf_dir).collect()} == {e.event_id for e in events}
