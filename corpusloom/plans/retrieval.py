@@ -28,8 +28,8 @@ kw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 def keyword_queries(spark, sf_dir) -> DataFrame:
-    """The first eight terms of each benchmark passage."""
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(rt.terms(F.col("text")), 1, 8), " ").alias("text"))
+    """All terms of each benchmark passage."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(rt.terms(F.col("text")), " ").alias("text"))
 
 
 def keyword_ranked(spark, sf_dir, k: int = 10) -> DataFrame:

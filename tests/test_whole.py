@@ -39,3 +39,11 @@ def test_all_events_are_jobs(spark, sf_dir):
     got = {r.id: r.median_seconds for r in QUERIES["j3_median_durations"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 2e-6 for i in want)
     assert {r.id for r in QUERIES["j5_progress"](spark, sf_dir).collect()} == {e.event_id for e in events}
+
+
+def test_whole_passages_are_asked(spark, tmp_path):
+    late = "zebra quagga okapi"
+    filler = " ".join(f"filler{i}" for i in range(20))
+    spark.createDataFrame([(1, f"{late} live here.", "en"), (2, "Something else is here.", "en")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(5, f"{filler} {late}")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert {(r.query_id, r.chunk_id.split("-")[0]) for r in QUERIES["r4_keyword_leg"](spark, str(tmp_path)).collect()} == {(5, "1")}
