@@ -51,13 +51,16 @@ def _best(scored: DataFrame, by: str) -> DataFrame:
     return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def semantic_matches(requests: DataFrame, responses: DataFrame, anchored: float = 0.88, free: float = 0.92) -> DataFrame:
+def semantic_matches(requests: DataFrame, responses: DataFrame, anchored: float = 0.88, free: float = 0.92, same_ids: bool = False) -> DataFrame:
     """(request_id, response_id, similarity): the closest response of the same configuration and clauses; without a clause
-    more similarity is asked for."""
+    more similarity is asked for. ``same_ids``: requests and responses are numbered alike, and none answers itself."""
     a = requests.withColumn("clauses", F.to_json(fx.bounded_clauses(F.col("question")))).select("request_id", "configuration", "clauses", F.col("vector").alias("q"))
     b = responses.withColumn("clauses", F.to_json(fx.bounded_clauses(F.col("question")))).select("response_id", "configuration", "clauses", F.col("vector").alias("v"))
     need = F.when(F.col("clauses") == "[]", max(anchored, free)).otherwise(anchored)
-    pairs = a.join(b, ["configuration", "clauses"]).where(F.size("q") == F.size("v")).withColumn("similarity", F.round(cosine(F.col("q"), F.col("v")), 6)).where(F.col("similarity") >= need)
+    pairs = a.join(b, ["configuration", "clauses"]).where(F.size("q") == F.size("v"))
+    if same_ids:
+        pairs = pairs.where("request_id <> response_id")
+    pairs = pairs.withColumn("similarity", F.round(cosine(F.col("q"), F.col("v")), 6)).where(F.col("similarity") >= need)
     return _best(pairs.select("request_id", "response_id", "similarity"), "similarity")
 
 

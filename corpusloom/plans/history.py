@@ -181,14 +181,16 @@ def j2_progress_marker(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jobs.last_marker(log).alias("m")).select("event_id", "m.phase", "m.done", "m.total")
 
 
-JOB_SQL = "job AS (SELECT event_id AS id, event_type AS kind, 0e0 AS started_at, value AS finished_at FROM events WHERE event_id % 20 = 0)"
+JOB_SQL = "job AS (SELECT event_id AS id, event_type AS kind, 0e0 AS started_at, value AS finished_at FROM events)"
 
 
 def job_table(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("kind"), F.lit(0.0).alias("started_at"), F.col("value").alias("finished_at"))
 
 
-@query(f"WITH {JOB_SQL} SELECT a.id, a.kind, round(median(b.finished_at), 6) AS median_seconds FROM job a JOIN job b ON a.kind = b.kind AND a.id <> b.id GROUP BY 1, 2")
+@query(f"""WITH {JOB_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY finished_at, id) AS r, count(*) OVER (PARTITION BY kind) AS n FROM job WHERE finished_at IS NOT NULL),
+v AS (SELECT kind, list(finished_at ORDER BY finished_at, id) AS v FROM job WHERE finished_at IS NOT NULL GROUP BY 1), m AS (SELECT id, r.kind, v.v, r, (n - 2) // 2 + 1 AS lo, (n - 1) // 2 + 1 AS hi FROM r JOIN v USING (kind) WHERE n > 1)
+SELECT id, kind, round((v[CASE WHEN lo >= r THEN lo + 1 ELSE lo END] + v[CASE WHEN hi >= r THEN hi + 1 ELSE hi END]) / 2, 6) AS median_seconds FROM m""")
 def j3_median_durations(spark, sf_dir):
     return jobs.median_durations(job_table(spark, sf_dir)).withColumn("median_seconds", F.round("median_seconds", 6))
 
@@ -201,7 +203,7 @@ def j6_command_options(spark, sf_dir):
     return table(spark, sf_dir, "events").withColumn("command", command).select("event_id", F.array_join(jobs.phases(F.col("command")), ",").alias("phases"), jobs.option(F.col("command"), "--top-n").alias("top_n"), F.array_join(jobs.option_values(F.col("command"), "--files"), ",").alias("files"))
 
 
-@query("SELECT event_id AS id, round((2 + event_id % 5 / 5e0) / 3, 6) AS fraction, round(60 * (1 - (2 + event_id % 5 / 5e0) / 3) / ((2 + event_id % 5 / 5e0) / 3), 6) AS eta_seconds FROM events WHERE event_id % 20 = 0")
+@query("SELECT event_id AS id, round((2 + event_id % 5 / 5e0) / 3, 6) AS fraction, round(60 * (1 - (2 + event_id % 5 / 5e0) / 3) / ((2 + event_id % 5 / 5e0) / 3), 6) AS eta_seconds FROM events")
 def j5_progress(spark, sf_dir):
     j = job_table(spark, sf_dir)
     log = F.concat(F.lit("[mineru 1/4] [embed "), (F.col("id") % 5).cast("string"), F.lit("/5]"))

@@ -21,12 +21,12 @@ from .retrieval import CAND_SQL, candidates, questions, requests
 NAMESPACE = "6ba7b8109dad11d180b400c04fd430c8"
 
 
-@query("""WITH a AS (SELECT doc_id AS chunk_id, text, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT CASE WHEN doc_id % 50 = 0 THEN NULL ELSE doc_id END AS chunk_id, lower(left(text, 20)) AS text, n_chars FROM documents WHERE doc_id % 2 = 0)
+@query("""WITH a AS (SELECT doc_id AS chunk_id, text, n_chars FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT CASE WHEN doc_id % 50 = 0 THEN NULL ELSE doc_id END AS chunk_id, lower(text) AS text, n_chars FROM documents WHERE doc_id % 2 = 0)
 SELECT chunk_id, text FROM a WHERE chunk_id NOT IN (SELECT chunk_id FROM b WHERE chunk_id IS NOT NULL) UNION ALL SELECT chunk_id, text FROM b""")
 def s8_idempotent_upsert(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     old = d.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("chunk_id"), "text", "n_chars")
-    new = d.where("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 50 != 0, F.col("doc_id")).alias("chunk_id"), F.lower(F.left("text", F.lit(20))).alias("text"), "n_chars")
+    new = d.where("doc_id % 2 = 0").select(F.when(F.col("doc_id") % 50 != 0, F.col("doc_id")).alias("chunk_id"), F.lower("text").alias("text"), "n_chars")
     return files.upserted(old, new).select("chunk_id", "text")
 
 
@@ -62,7 +62,7 @@ def l1_span_overlaps(spark, sf_dir):
     return ln.without_overlaps(spans(spark, sf_dir)).select("doc", "line_no", "span_no", "text")
 
 
-@query(f"""WITH {LINES_SQL}, w AS (SELECT doc, line_no, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS span_no FROM lines WHERE line_no < 20), r AS (SELECT *, CASE WHEN length(text) % 2 = 0 THEN 12e0 ELSE 10e0 END AS size FROM w WHERE trim(text) <> ''),
+@query(f"""WITH {LINES_SQL}, w AS (SELECT doc, line_no, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS span_no FROM lines), r AS (SELECT *, CASE WHEN length(text) % 2 = 0 THEN 12e0 ELSE 10e0 END AS size FROM w WHERE trim(text) <> ''),
 m AS (SELECT doc, line_no, size, sum(length(text)) AS m, min(span_no) AS f FROM r GROUP BY 1, 2, 3)
 SELECT r.doc, r.line_no, string_agg(r.text, '' ORDER BY span_no) AS text, bool_or(span_no = 0) AS is_bold, (SELECT size FROM m WHERE m.doc = r.doc AND m.line_no = r.line_no ORDER BY m DESC, f LIMIT 1) AS font_size FROM r GROUP BY r.doc, r.line_no""")
 def l2_line_assembly(spark, sf_dir):

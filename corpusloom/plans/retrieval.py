@@ -9,18 +9,16 @@ from ..operators import evaluation as ev, retrieval as rt, reuse
 from .documents import CHUNKS_SQL, chunks
 from .registry import query, table
 
-N_QUERIES = 20  # of the SQL only
 #: Every vector whose id is divisible by 20 is a question; it is asked of all vectors.
 ASKED = "vec_id % 20 = 0"
 COS = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(p.embedding AS DOUBLE[])), 6)"
-#: The vectors of small id are the questions of the SQL, which covers less than the plans (see REPLY_r01.md).
-SCORES_SQL = f"scores AS (SELECT q.vec_id AS query_id, p.vec_id AS passage_id, {COS} AS score FROM embeddings q, embeddings p WHERE q.vec_id < {N_QUERIES} AND p.vec_id >= {N_QUERIES})"
+SCORES_SQL = f"scores AS (SELECT q.vec_id AS query_id, p.vec_id AS passage_id, {COS} AS score FROM embeddings q, embeddings p WHERE q.{ASKED})"
 RANKED_SQL = f"{SCORES_SQL}, ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, passage_id) AS rank FROM scores) WHERE rank <= 20)"
 CHUNK_WORDS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 BM25_SQL = f"""{CHUNKS_SQL}, ids AS (SELECT doc_id || '-' || lpad(CAST(chunk_index AS VARCHAR), 5, '0') AS chunk_id, text FROM chunks),
 sized AS (SELECT chunk_id, {CHUNK_WORDS} AS ts, len({CHUNK_WORDS}) AS n FROM ids),
 facts AS (SELECT count(*) AS n, avg(n) AS avg_len FROM sized),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(list_slice({CHUNK_WORDS}, 1, 8)) AS term FROM benchmark),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({CHUNK_WORDS}) AS term FROM benchmark),
 tf AS (SELECT term, chunk_id, n AS len, count(*) AS tf FROM (SELECT chunk_id, n, unnest(ts) AS term FROM sized) WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2, 3),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
 bm AS (SELECT query_id, chunk_id, round(sum(ln(1 + (f.n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))), 6) AS score FROM asked JOIN df USING (term) JOIN tf USING (term), facts f GROUP BY 1, 2),
@@ -270,15 +268,15 @@ def a5_topic_match(spark, sf_dir):
     return reuse.topic_matches(req, responses(req))
 
 
-VEC_SQL = "vec AS (SELECT vec_id, embedding, vec_id % 2 AS configuration, CASE WHEN vec_id % 4 < 2 THEN 'See 5.3' ELSE 'No clause' END AS question FROM embeddings)"
+VEC_SQL = "vec AS (SELECT vec_id, embedding, vec_id // 20 % 2 AS configuration, CASE WHEN vec_id // 40 % 2 = 0 THEN 'See 5.3' ELSE 'No clause' END AS question FROM embeddings)"
 
 
-@query(f"""WITH {VEC_SQL}, s AS (SELECT a.vec_id AS request_id, b.vec_id AS response_id, a.question, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM vec a JOIN vec b ON a.configuration = b.configuration AND a.question = b.question WHERE a.vec_id % 20 < 4 AND b.vec_id % 20 >= 4)
+@query(f"""WITH {VEC_SQL}, s AS (SELECT a.vec_id AS request_id, b.vec_id AS response_id, a.question, round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM vec a JOIN vec b ON a.configuration = b.configuration AND a.question = b.question WHERE a.{ASKED} AND a.vec_id <> b.vec_id)
 SELECT request_id, response_id, similarity FROM s WHERE similarity >= CASE WHEN question = 'See 5.3' THEN 0.3 ELSE 0.4 END QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY similarity DESC, response_id) = 1""")
 def a6_semantic_match(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), (F.col("vec_id") % 2).alias("configuration"), F.when(F.col("vec_id") % 4 < 2, "See 5.3").otherwise("No clause").alias("question"))
-    req = e.where("vec_id % 20 < 4").withColumnRenamed("vec_id", "request_id")
-    return reuse.semantic_matches(req, e.withColumnRenamed("vec_id", "response_id"), 0.3, 0.4)
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"), F.expr("vec_id div 20 % 2").alias("configuration"), F.when(F.expr("vec_id div 40 % 2 = 0"), "See 5.3").otherwise("No clause").alias("question"))
+    req = e.where(ASKED).withColumnRenamed("vec_id", "request_id")
+    return reuse.semantic_matches(req, e.withColumnRenamed("vec_id", "response_id"), 0.3, 0.4, same_ids=True)
 
 
 @query(f"WITH {REQ_SQL} SELECT request_id AS response_id, asked_at AS created_at FROM req WHERE request_id % 2 = 0 ORDER BY asked_at DESC, request_id LIMIT 200")
@@ -286,7 +284,7 @@ def a8_retention(spark, sf_dir):
     return reuse.retained(responses(requests(spark, sf_dir))).select("response_id", "created_at")
 
 
-REL_SQL = f"{RANKED_SQL}, want AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.vec_id < {N_QUERIES} AND p.vec_id >= {N_QUERIES}), n AS (SELECT query_id, count(DISTINCT chunk_id) AS n FROM want GROUP BY 1), f AS (SELECT r.query_id, count(*) AS c, min(rank) AS first FROM ranked r JOIN want w ON r.query_id = w.query_id AND r.passage_id = w.chunk_id WHERE rank <= 10 GROUP BY 1), e AS (SELECT n.query_id, f.c IS NOT NULL AS hit, round(coalesce(f.c, 0) / CAST(n.n AS DOUBLE), 6) AS recall, round(coalesce(1e0 / f.first, 0), 6) AS mrr FROM n LEFT JOIN f ON n.query_id = f.query_id)"
+REL_SQL = f"{RANKED_SQL}, want AS (SELECT q.vec_id AS query_id, p.vec_id AS chunk_id FROM embeddings q JOIN embeddings p ON q.label = p.label WHERE q.{ASKED}), n AS (SELECT query_id, count(DISTINCT chunk_id) AS n FROM want GROUP BY 1), f AS (SELECT r.query_id, count(*) AS c, min(rank) AS first FROM ranked r JOIN want w ON r.query_id = w.query_id AND r.passage_id = w.chunk_id WHERE rank <= 10 GROUP BY 1), e AS (SELECT n.query_id, f.c IS NOT NULL AS hit, round(coalesce(f.c, 0) / CAST(n.n AS DOUBLE), 6) AS recall, round(coalesce(1e0 / f.first, 0), 6) AS mrr FROM n LEFT JOIN f ON n.query_id = f.query_id)"
 
 
 def _eval_rows(spark, sf_dir) -> DataFrame:
