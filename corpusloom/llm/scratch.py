@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 
 
@@ -22,10 +23,16 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage."""
+    """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage. Nothing reads the shuffle
+    files of the write again, so Spark is told to delete them when it ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{label}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
