@@ -9,6 +9,7 @@ they come up. A pre-token of n bytes takes O(n log n) steps however long it is.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Callable, Iterator
 from functools import partial
 from pathlib import Path
@@ -17,14 +18,12 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, types as T
 
-from .cache import Generations
-from .textvec import column
+from .runs import Chars, RunTable, char_blocks, gathered, per_text
+from .textvec import column, slices
 
 DEFAULT_RANKS = "byte_bpe_50k.tiktoken"
-MAX_CACHED = 400_000
-
 
 _LEAF = 8  # a leaf of the bitmap has 2**_LEAF ranks
 _LOW = (1 << _LEAF) - 1
@@ -158,54 +157,97 @@ class Merger:
             out[i] = part
 
 
+def _tiles(block: Chars) -> np.ndarray:
+    """Where to cut each text so that no match of the public pattern crosses a cut: before a run of other characters
+    than white space and one space before it, before the last of several white characters, and between Latin letters
+    that start such a run and an ASCII sign."""
+    new, white, kind = block.text_starts(), block.white(), block.kind()
+    cut = new.copy()
+    if len(white):
+        follows = ~white[1:] & white[:-1] & ~new[1:]  # a run after white space: the space goes with it, other white space alone
+        space = block.cp[:-1] == 32
+        cut[:-1] |= follows
+        cut[1:] |= follows & ~space
+        cut[1:] |= white[1:] & ~white[:-1]
+        head = kind == 1  # letters from the start of a run on
+        turn = (kind[1:] == 2) & head[:-1] & ~new[1:]
+        broken = np.concatenate(([0], np.cumsum(~head)))
+        starts = np.flatnonzero(new | np.concatenate(([True], white[:-1])))
+        at = np.flatnonzero(turn) + 1
+        first = starts[np.searchsorted(starts, at - 1, side="right") - 1]
+        cut[at[broken[at] == broken[first]]] = True
+    return np.flatnonzero(cut)
+
+
+class Strings:
+    """Byte strings by id, end to end, so that those of many ids are gathered at once."""
+
+    def __init__(self, known: dict[int, bytes]):
+        self.size = np.full(max(known, default=-1) + 1, -1, np.int64)
+        self.size[list(known)] = [len(x) for x in known.values()]
+        self.start = np.zeros(len(self.size), np.int64)
+        self.start[list(known)] = np.cumsum([0, *[len(x) for x in known.values()]])[:-1]
+        self.raw = np.frombuffer(b"".join(known.values()), np.uint8)
+
+    def join(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """(the strings of ``ids`` end to end, where those of ``bounds`` start). An id without a string is an error."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.size) or (self.size[ids] < 0).any()):
+            raise ValueError("an id is not in the vocabulary")
+        size = self.size[ids]
+        return gathered(self.raw, self.start[ids], size).tobytes(), np.concatenate(([0], np.cumsum(size)))[bounds]
+
+
 class Codec:
-    """Encoder and decoder for one rank file. Runs of text between spaces are looked up in a bounded cache,
-    so a merge runs about once for each different run in a task's texts."""
+    """Encoder and decoder for one rank file. Short runs of text are looked up in a bounded table, so a merge runs
+    about once for each different run in a task's texts."""
 
     def __init__(self, path: str, pattern: str):
         lines = Path(path).read_bytes().splitlines()
         self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x)}
-        self.bytes = {v: k for k, v in self.ranks.items()}
+        self.bytes = Strings({v: k for k, v in self.ranks.items()})
+        self.decimals = Strings({v: b"%d " % v for v in self.ranks.values()})
         self.merger = Merger(self.ranks)
         white = lambda p: p.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.pieces = regex.compile(white(pattern)).findall
-        self.runs = regex.compile(white(r" ?\S+|\s+(?!\S)|\s+")).findall
-        # A run can be cut out first only if the pattern treats spaces as these runs do.
+        # A text can be cut first only if the pattern is the one that the cuts are made for.
         self.by_run = pattern == public_tokenizers.PATTERN
-        self.cache = Generations(self._encode_runs, MAX_CACHED)
-        self.piece_cache = Generations(self._merge, MAX_CACHED)
-
-    def _merge(self, pieces: list[str]) -> list[bytes]:
-        return [ids.tobytes() for ids in self.merger.merge([p.encode("utf-8", "replace") for p in pieces])]
+        self.table = RunTable(self._encode_runs)
 
-    def _encode_runs(self, runs: list[str]) -> list[bytes]:
+    def _encode_runs(self, runs: list[str]) -> list[np.ndarray]:
         split = [self.pieces(r) for r in runs]
-        distinct = set().union(*split)
-        known = self.piece_cache.fill(distinct)
-        out = [known[s[0]] if len(s) == 1 else b"".join(map(known.__getitem__, s)) for s in split]
-        self.piece_cache.forget_long(distinct)
-        return out
+        place = {p: i for i, p in enumerate(dict.fromkeys(p for s in split for p in s))}
+        ids = self.merger.merge([p.encode("utf-8", "replace") for p in place])
+        none = np.zeros(0, np.int32)
+        return [ids[place[s[0]]] if len(s) == 1 else np.concatenate([ids[place[p]] for p in s]) if s else none for s in split]
+
+    def encode_blocks(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(ids of several texts end to end, bounds of each text's); null and empty texts have none."""
+        for block in char_blocks(texts):
+            starts = _tiles(block) if self.by_run else np.flatnonzero(block.text_starts())
+            ends = np.append(starts[1:], len(block.cp)) if len(starts) else starts
+            ids, sizes = self.table.ids(block, block.cp, starts, ends)
+            yield ids, per_text(block, starts, sizes)
 
     def encode_all(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text; null and empty texts have none."""
-        split = [self.runs(t) if self.by_run else [t] if t else () for t in (t or "" for t in texts)]
-        distinct = set().union(*split)
-        known = self.cache.fill(distinct)
-        out = [np.frombuffer(b"".join(map(known.__getitem__, s)), np.int32) for s in split]
-        self.cache.forget_long(distinct)
-        return out
+        return [ids[a:b] for ids, at in self.encode_blocks(texts) for a, b in zip(at[:-1], at[1:], strict=True)]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_all([text])[0]
 
     def decode_all(self, ids: pa.ListArray) -> list[bytes]:
         """The bytes of each list of ids; a null list counts as empty."""
-        flat, at = ids.flatten().to_numpy(zero_copy_only=False).tolist(), 0
-        look, out = self.bytes.__getitem__, []
-        for n in ids.value_lengths().fill_null(0).to_pylist():
-            out.append(b"".join(map(look, flat[at : at + n])))
-            at += n
-        return out
+        bounds = np.concatenate(([0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))))
+        raw, at = self.bytes.join(ids.flatten().to_numpy(zero_copy_only=False), bounds)
+        return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+
+    def digests(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
+        """(number of ids, SHA-256 of the decimal ids with a space between them, SHA-256 of the decoded bytes) of each text."""
+        for ids, at in self.encode_blocks(texts):
+            names, n = self.decimals.join(ids, at)
+            raw, r = self.bytes.join(ids, at)
+            names, raw = memoryview(names), memoryview(raw)
+            for i in range(len(at) - 1):
+                yield int(at[i + 1] - at[i]), hashlib.sha256(names[n[i] : max(n[i], n[i + 1] - 1)]).hexdigest(), hashlib.sha256(raw[r[i] : r[i + 1]]).hexdigest()
 
 
 _codecs: dict[tuple[str, str], Codec] = {}
@@ -253,12 +295,20 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", path: str | No
     return _mapped(df, out, T.BinaryType(), partial(_decode, ids=ids, path=path, pattern=pattern))
 
 
+def digests(df: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of every whole text: encoded, then decoded, in one pass, so that
+    neither texts nor ids go back through the JVM."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            n, ids, decoded = zip(*codec(path, pattern).digests(column(b, text)), strict=True)
+            arrays = [b.column(b.schema.get_field_index(doc_id)), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)]
+            yield pa.RecordBatch.from_arrays(arrays, [doc_id, "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = df.select(doc_id, text)
+    out = T.StructType([rows.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return rows.mapInArrow(run, out)
+
+
 def op7_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    both = decode(encode(docs).drop("text"))
-    return both.select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

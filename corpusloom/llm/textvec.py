@@ -43,6 +43,20 @@ def _power(kind: str, n: int) -> np.ndarray:
     return _powers[kind][:n]
 
 
+def hash_spans(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of ``raw[starts[i]:ends[i]]`` (ascending, disjoint), a stretch of about BLOCK_BYTES at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        k = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
+        a, b = starts[i], ends[k - 1]
+        sums = np.zeros(b - a + 1, np.uint64)
+        np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * _power("up", b - a), out=sums[1:])
+        out[i:k] = mix((sums[ends[i:k] - a] - sums[starts[i:k] - a]) * _power("down", b - a)[starts[i:k] - a])
+        i = k
+    return out
+
+
 @dataclass
 class Block:
     """Bytes of several texts end to end. ``bounds[i]:bounds[i+1]`` is text i, which ends in a newline of our own."""
@@ -62,17 +76,7 @@ class Block:
         return np.searchsorted(self.bounds, starts, side="right") - 1
 
     def hashes(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """64-bit hashes of ``raw[starts[i]:ends[i]]`` (ascending, disjoint), a stretch of about BLOCK_BYTES at a time."""
-        out = np.zeros(len(starts), np.uint64)
-        i = 0
-        while i < len(starts):
-            k = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK_BYTES, side="right")))
-            a, b = starts[i], ends[k - 1]
-            sums = np.zeros(b - a + 1, np.uint64)
-            np.cumsum((raw[a:b].astype(np.uint64) + np.uint64(1)) * _power("up", b - a), out=sums[1:])
-            out[i:k] = mix((sums[ends[i:k] - a] - sums[starts[i:k] - a]) * _power("down", b - a)[starts[i:k] - a])
-            i = k
-        return out
+        return hash_spans(raw, starts, ends)
 
 
 def is_space(raw: np.ndarray) -> np.ndarray:
