@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -15,21 +13,20 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .cache import Generations
+from .runs import Chars, RunTable, char_blocks, per_text
 from .scratch import stored
 from .textvec import column, release
 
 VOCABULARY = "word_bpe_49k.json"
-MAX_CACHED = 500_000
-_LETTERS_SIGNS = re.compile("([A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([!-&(-/:-@\\[-`{-~]*)")
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_RUN = re.compile("[^\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+_BETWEEN = "~"
 
 
 @dataclass(frozen=True)
 class PackParams:
     """``full``: bins with at most this many free tokens are emitted at once. ``fan_in``: how many tasks' underfull
-    bins meet in one task of the next round. ``bins_per_task``: no task of a later round gets more bins."""
+    bins meet in one task of the next round. ``bins_per_task``: no task of a later round gets more bins on average; where
+    that allows no fewer tasks, the bins are dealt anew. ``gain``: then a round that merges a smaller share of its
+    bins is the last, as what is left hardly fits together."""
 
     capacity: int = 4096
     end_id: int = 1
@@ -37,45 +34,80 @@ class PackParams:
     fan_in: int = 4
     bins_per_task: int = 100_000
     pieces_per_task: int = 40_000
+    gain: float = 0.01
 
 
 class _Words:
-    """Ids (little-endian unsigned 32-bit) of runs of non-white characters. The tokenizer drops white space
-    before it splits, so a text's ids are those of its runs in order. A run of letters with signs after it is
-    looked up in two parts, as the tokenizer splits there too."""
+    """Ids of whole texts. The tokenizer drops white space before it splits, so a text's ids are those of its runs of
+    other characters in order; a run of letters with signs after it is looked up in two parts, as the tokenizer splits
+    there too. Texts that could hold a special token go to the tokenizer as they are."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.runs = Generations(self._split_runs, MAX_CACHED * 4 // 5)
-        self.parts = Generations(self._encode, MAX_CACHED)
-
-    def _encode(self, keys: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for i in range(0, len(keys), 4096) for e in self.model.encode_batch_fast(keys[i : i + 4096], add_special_tokens=False)]
-
-    def _split_runs(self, runs: list[str]) -> list[bytes]:
-        halves = []
-        for r in runs:
-            m = _LETTERS_SIGNS.fullmatch(r) if "\u0130" not in r else None
-            halves.append((m[1].lower(), m[2]) if m else (r, ""))
-        distinct = {x for h in halves for x in h if x}
-        known = self.parts.fill(distinct)
-        out = [known[a] + known[b] if b else known[a] for a, b in halves]
-        self.parts.forget_long(distinct)
+        self.heads = {t.content[:2] for t in self.model.get_added_tokens_decoder().values()}
+        self.between = int(self._whole([_BETWEEN])[0].item())
+        self.table = RunTable(self._encode)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, runs: list[str]) -> list[np.ndarray]:
+        """Many runs at a time, with a sign of one id between them that none of them has."""
+        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(runs)
+        plain = [i for i, r in enumerate(runs) if _BETWEEN not in r]
+        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
+        for at, ids in zip(groups, self._whole([f" {_BETWEEN} ".join([runs[i] for i in g]) for g in groups]), strict=True):
+            cuts = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            for i, a, b in zip(at, cuts[:-1], cuts[1:], strict=True):
+                out[i] = ids[a + 1 : b]
+        other = [i for i, r in enumerate(runs) if _BETWEEN in r]
+        for i, ids in zip(other, self._whole([runs[i] for i in other]), strict=True):
+            out[i] = ids
         return out
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t.split() if not _ODD_SPACE.search(t) else _RUN.findall(t)) if t else [] for t in texts]
-        distinct = set().union(*split)
-        known = self.runs.fill(distinct)
-        out = [b"".join(map(known.__getitem__, ws)) for ws in split]
-        self.runs.forget_long(distinct)
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids (int32) of each text; null and empty texts have none."""
+        whole = [i for i, t in enumerate(texts) if t and any(h in t for h in self.heads)]
+        rest = list(texts)
+        for i in whole:
+            rest[i] = None
+        out: list[np.ndarray] = []
+        for block in char_blocks(rest):
+            starts, ends, cp = _runs(block)
+            ids, sizes = self.table.ids(block, cp, starts, ends)
+            at = per_text(block, starts, sizes)
+            out += [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i in whole:
+            out[i] = self._whole([texts[i]])[0]
         return out
 
 
+def _runs(block: Chars) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, code points with Latin letters in lower case) of the runs to look up."""
+    ink, kind = ~block.white(), block.kind()
+    new = block.text_starts()
+    cut = ink.copy()  # where a run starts: after white space, at the start of a text
+    cut[1:] &= ~ink[:-1] | new[1:]
+    starts = np.flatnonzero(cut)
+    stop = np.ones(len(ink), bool)  # the last character of a run
+    stop[:-1] = ~ink[1:] | new[1:]
+    ends = np.flatnonzero(ink & stop) + 1
+    letters, signs = np.concatenate(([0], np.cumsum(kind == 1))), np.concatenate(([0], np.cumsum(kind == 2)))
+    n_letters, n_signs = letters[ends] - letters[starts], signs[ends] - signs[starts]
+    middle = starts + n_letters
+    # Letters, then signs, nothing else: as many letters in the first part as in the whole run.
+    two = (n_letters > 0) & (n_signs > 0) & (n_letters + n_signs == ends - starts)
+    two &= letters[middle] - letters[starts] == n_letters
+    starts = np.sort(np.concatenate((starts, middle[two])))
+    ends = np.sort(np.concatenate((ends, middle[two])))
+    cp = block.cp
+    upper = (kind == 1) & (((cp >= 65) & (cp <= 90)) | ((cp >= 0xC0) & (cp <= 0xDE)))
+    return starts, ends, cp + (upper * np.uint32(32))
+
+
 _models: dict[str, _Words] = {}
 
 
@@ -95,7 +127,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
                 part = b.slice(at, 256)
                 rows = []
                 for d, ids in zip(column(part, doc_id), _models[name].encode(column(part, text)), strict=True):
-                    ids += end
+                    ids = ids.tobytes() + end
                     for k in range(0, len(ids), step):
                         x = ids[k : k + step]
                         rows.append((d, k // step, k // 4, len(x) // 4, zlib.crc32(x), x))
@@ -167,19 +199,20 @@ def pack(items: DataFrame, length: str = "length", p: PackParams = PackParams())
             }
         )
 
+    turn = 0
     while count:
-        packed = stored(bins.repartition(tasks, "mixed").mapInPandas(run, bins.schema), "bins")
+        packed = stored(bins.repartition(tasks, F.xxhash64("mixed", F.lit(turn))).mapInPandas(run, bins.schema), "bins")
         if tasks == 1:
             done.append(packed)
             break
+        after, full = packed.agg(F.count("*"), F.count_if(F.col("used") >= p.capacity - p.full)).first()
+        fewer = max(-(-tasks // p.fan_in), -(-(after - full) // p.bins_per_task))
+        if fewer >= tasks and after > count * (1 - p.gain):
+            done.append(packed)
+            break
         done.append(packed.where(F.col("used") >= p.capacity - p.full))
         bins = packed.where(F.col("used") < p.capacity - p.full)
-        left = bins.count()
-        fewer = max(-(-tasks // p.fan_in), -(-left // p.bins_per_task))
-        if fewer >= tasks:  # too many underfull bins for fewer tasks: another round would gain little
-            done.append(bins)
-            break
-        count, tasks = left, fewer
+        count, tasks, turn = after - full, min(fewer, tasks), turn + 1
     if not done:
         return items.limit(0).withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     every = done[0]

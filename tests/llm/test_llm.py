@@ -279,7 +279,6 @@ def test_components(spark):
 
 def test_op6(spark, sf_dir, texts):
     t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    t.encode_special_tokens = True
     rows = registry.QUERIES["op6_best_fit_packing"](spark, sf_dir).collect()
     by = {}
     for r in rows:
@@ -303,11 +302,37 @@ def test_op6(spark, sf_dir, texts):
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.text(alphabet="abcD'sé İΣςÀ\n\t\x1c\x85　漢12!?.,-$#<|endoftext|>", max_size=30))
+@given(st.text(alphabet="abcD'sé İΣςÀß×\n\t\x1c\x85　漢12!?.,-$#~<|endoftext|>", max_size=30))
 def test_op6_runs(text):
     path = public_tokenizers.path("word_bpe_49k.json")
     model = packing._models.setdefault(path, packing._Words(path))
-    assert np.frombuffer(model.encode([text])[0], "<u4").tolist() == model.model.encode(text, add_special_tokens=False).ids
+    assert model.encode([text])[0].tolist() == model.model.encode(text, add_special_tokens=False).ids
+
+
+def test_op6_literal_special_tokens():
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["foo <|endoftext|> bar", "x<|startoftext|>y<|", None, "a ~ b~c ~~", "", "<|ENDOFTEXT|> " + "long" * 50]
+    model = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    assert [x.tolist() for x in model.encode(texts)] == [t.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert 49407 in model.encode(texts)[0]
+
+
+def test_op6_many_runs():
+    """A table that starts anew again and again, runs that are too long for it, and texts longer than a block."""
+    t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    model = packing._Words(public_tokenizers.path("word_bpe_49k.json"))
+    model.table.slots = 64
+    model.table._clear()
+    rng = np.random.default_rng(4)
+    texts = [" ".join("".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(1, 90)))) + "!"[: int(rng.integers(0, 2))] for _ in range(60)) for _ in range(20)]
+    assert [x.tolist() for x in model.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+
+
+def test_op6_no_fit(spark):
+    """Pieces of over half a sequence cannot share one; the rounds end and every piece is there."""
+    items = spark.range(500).select(F.col("id").alias("item"), (F.lit(2100) + F.col("id") % 7).alias("length"))
+    got = packing.pack(items, p=packing.PackParams(pieces_per_task=50, bins_per_task=60)).collect()
+    assert len({r.sequence_id for r in got}) == 500 and {r.offset for r in got} == {0}
 
 
 def test_op6_rounds(spark):
