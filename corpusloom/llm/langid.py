@@ -96,7 +96,8 @@ def bundles(texts: list[str | None], p: HdParams, letters: np.ndarray) -> tuple[
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", p: HdParams = HdParams()) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes) from every row with a label and a letter. Each task bundles its own texts; the sums of
-    dims values per language are added up by key. Raises ValueError if no language can be learned."""
+    dims values per language are added up by key. Nothing to learn from: no languages. Raises ValueError beyond
+    ``max_languages``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters, sums = _vectors(p), {}
@@ -114,16 +115,16 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", p: HdPara
     parts = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(text, lang).mapInArrow(run, "lang string, v array<double>")
     sums = parts.select("lang", F.posexplode("v").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     rows = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v")).limit(p.max_languages + 1).collect()
-    if not rows or len(rows) > p.max_languages:
-        raise ValueError(f"{len(rows)} languages to learn; there must be 1 to {p.max_languages}")
+    if len(rows) > p.max_languages:
+        raise ValueError(f"more than {p.max_languages} languages to learn")
     rows.sort(key=lambda r: r.lang)
-    protos = np.array([r.v for r in rows])
+    protos = np.array([r.v for r in rows]).reshape(-1, p.dims)
     return [r.lang for r in rows], protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-9)
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", p: HdParams = HdParams()) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (cosine, 0 to 1); ``und`` and 0 for null texts and texts without a letter.
-    Ties go to the first language in alphabetical order."""
+    """``docs`` with ``lang_pred`` and ``score`` (cosine, 0 to 1); ``und`` and 0 for null texts, texts without a letter,
+    and all texts if the model has no language. Ties go to the first language in alphabetical order."""
     langs, protos = model
     mean = protos.mean(axis=0) if len(langs) > 1 else np.zeros(p.dims)
     centred = protos - mean
@@ -136,6 +137,8 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             v, has = bundles(column(b, text), p, letters)
             v = v - mean
             cos = (v @ centred.T) / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+            if not langs:
+                cos, has = np.zeros((len(v), 1)), np.zeros(len(v), bool)
             best = cos.argmax(axis=1)
             score = np.where(has, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0)
             names = [langs[i] if h else "und" for i, h in zip(best, has, strict=True)]
@@ -159,6 +162,9 @@ MIN_SCORE = 0.02
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents without a letter, and those unlike every learned language, go."""
+    """Pipeline stage: documents without a letter, and those unlike every learned language, go. Where no language could be
+    learned, nothing can be told about the others and only null and blank texts go."""
     model = train(docs.where(~held_out()).select("text", "lang"))
+    if not model[0]:
+        return docs.where(F.trim("text") != "")
     return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)

@@ -166,10 +166,11 @@ def thresholds(groups: DataFrame, fences: Fences) -> DataFrame:
     return own.join(by_lang, "_lang").crossJoin(F.broadcast(every)).select("_lang", "_source", F.coalesce("own", "by_lang", "all").alias("_cut"))
 
 
-def verdict(metrics: DataFrame, lang: str, source: str, fences: Fences = Fences()) -> DataFrame:
-    """Adds ``base_failed`` and ``kept``. Cutoffs come from every document that the base rule passes.
+def verdict(metrics: DataFrame, lang: str, source: str, fences: Fences = Fences(), salt: str = "doc_id") -> DataFrame:
+    """Adds ``base_failed`` and ``kept``. Cutoffs come from every document that the base rule passes. ``salt`` is a column
+    of many values.
 
-    Null language or source form groups of their own. A group all of whose documents fail the base rule
+    Null and empty language or source count as the same. A group all of whose documents fail the base rule
     has no cutoff, and none of its documents is kept.
     """
     cut = stored(thresholds(stored(sketches(metrics, lang, source, fences), "sketches"), fences), "cutoffs")
@@ -178,7 +179,7 @@ def verdict(metrics: DataFrame, lang: str, source: str, fences: Fences = Fences(
         joined = keyed.join(F.broadcast(cut), ["_lang", "_source"], "left")
     else:  # many groups: salt, as one source may hold a third of the rows
         salts = 32
-        joined = keyed.withColumn("_salt", F.abs(F.hash("doc_id")) % salts).join(
+        joined = keyed.withColumn("_salt", F.pmod(F.hash(salt), F.lit(salts))).join(
             cut.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["_lang", "_source", "_salt"], "left"
         ).drop("_salt")
     inside = F.lit(True)
@@ -199,9 +200,10 @@ def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go."""
-    found = with_metrics(docs)
-    cut = verdict(stored(found.select("doc_id", "lang", "source", *METRICS), "metrics"), "lang", "source")
-    gone = stored(cut.where("not kept").select("doc_id"), "rejected")
+    own = F.xxhash64("doc_id", "text", "lang", "source").alias("_row")  # rows of one id but other texts are judged apart
+    found = with_metrics(docs.select("text", "lang", "source", own))
+    cut = verdict(stored(found.drop("text"), "metrics"), "lang", "source", salt="_row")
+    gone = stored(cut.where("not kept").select("_row").distinct(), "rejected")
     if small_enough(gone, 500_000):
         gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    return docs.withColumn("_row", own).join(gone, "_row", "left_anti").select(*docs.columns)

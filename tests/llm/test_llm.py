@@ -189,6 +189,13 @@ def test_op3_edges(edges):
     assert quality.verdict(m.limit(0), "lang", "source").count() == 0
 
 
+def test_op3_stage_repeated_ids(spark):
+    good = " ".join(f"word{i % 37} other{i}" for i in range(60))
+    rows = [(1, good, "en", "a"), (1, "too short", "en", "a"), (None, good, None, None), (2, None, "en", "a"), (3, "", "", "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted((r.doc_id or 0, r.text) for r in quality.quality_stage(spark, df, "").collect()) == [(0, good), (1, good)]
+
+
 # op4
 
 
@@ -435,14 +442,16 @@ def test_op9(spark, sf_dir, docs):
     assert all(0 <= r.score <= 1 for r in got)
 
 
-def test_op9_edges(edges):
+def test_op9_edges(spark, edges):
     p = langid.HdParams(dims=64)
     model = langid.train(edges, p=p)
     got = langid.predict(edges, model, p=p).collect()
     assert [r.lang_pred for r in got if r.doc_id in (1, 2, 3)] == ["und"] * 3 and len(got) == len(EDGES)
     assert langid.predict(edges.limit(0), model, p=p).count() == 0
-    with pytest.raises(ValueError):
-        langid.train(edges.limit(0), p=p)
+    for nothing in (edges.limit(0), edges.withColumn("lang", F.lit(None).cast("string"))):
+        model = langid.train(nothing, p=p)
+        assert {(r.lang_pred, r.score) for r in langid.predict(edges, model, p=p).collect()} == {("und", 0.0)}
+        assert langid.language_stage(spark, nothing, "").count() in (0, len(EDGES) - 3)
 
 
 # op10
