@@ -166,5 +166,5 @@ def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     learned, nothing can be told about the others and only null and blank texts go."""
     model = train(docs.where(~held_out()).select("text", "lang"))
     if not model[0]:
-        return docs.where(F.trim("text") != "")
+        return docs.where(F.col("text").rlike(r"\S"))
     return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
