@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .runs import Chars, RunTable, char_blocks, per_text
 from .scratch import stored
-from .textvec import column, release
+from .textvec import column, slices
 
 VOCABULARY = "word_bpe_49k.json"
 _BETWEEN = "~"
@@ -58,8 +58,9 @@ class _Words:
         """Many runs at a time, with a sign of one id between them that none of them has."""
         out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(runs)
         plain = [i for i, r in enumerate(runs) if _BETWEEN not in r]
-        groups = [plain[i : i + 256] for i in range(0, len(plain), 256)]
-        for at, ids in zip(groups, self._whole([f" {_BETWEEN} ".join([runs[i] for i in g]) for g in groups]), strict=True):
+        for lo in range(0, len(plain), 256):
+            at = plain[lo : lo + 256]
+            ids = self._whole([f" {_BETWEEN} ".join([runs[i] for i in at])])[0]
             cuts = [-1, *np.flatnonzero(ids == self.between).tolist(), len(ids)]
             for i, a, b in zip(at, cuts[:-1], cuts[1:], strict=True):
                 out[i] = ids[a + 1 : b]
@@ -118,24 +119,21 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         name = path or public_tokenizers.path(VOCABULARY)
         if name not in _models:
-            release()  # the caches take the place of what earlier stages have left
             _models[name] = _Words(name)
         end = np.array([p.end_id], "<u4").tobytes()
         step = p.capacity * 4
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows = []
-                for d, ids in zip(column(part, doc_id), _models[name].encode(column(part, text)), strict=True):
-                    ids = ids.tobytes() + end
-                    for k in range(0, len(ids), step):
-                        x = ids[k : k + step]
-                        rows.append((d, k // step, k // 4, len(x) // 4, zlib.crc32(x), x))
-                cols = list(zip(*rows, strict=True)) or [()] * 6
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-                arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
-                names = [doc_id, "piece", "start", "length", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
+        for part in slices(batches, 256):
+            rows = []
+            for d, ids in zip(column(part, doc_id), _models[name].encode(column(part, text)), strict=True):
+                ids = ids.tobytes() + end
+                for k in range(0, len(ids), step):
+                    x = ids[k : k + step]
+                    rows.append((d, k // step, k // 4, len(x) // 4, zlib.crc32(x), x))
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
+            names = [doc_id, "piece", "start", "length", "ids_crc32", "ids"]
+            yield pa.RecordBatch.from_arrays(arrays[: 5 + with_ids], names[: 5 + with_ids])
 
     return docs.select(doc_id, text).mapInArrow(run, f"{doc_id} long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 

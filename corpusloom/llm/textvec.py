@@ -149,15 +149,18 @@ def column(batch: pa.RecordBatch, name: str) -> list:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what a task builds from one stays small."""
+    """The same rows in smaller batches, so that what a task builds from one stays small. At the end of the task its
+    memory goes back to the system, as the worker lives on for other stages."""
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
+    release()
 
 
 def release() -> None:
     """Give memory that earlier tasks of this worker have freed back to the system, where the C library can."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
     if trim is not None:
         trim(0)

@@ -18,7 +18,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from corpusloom.llm import bpe, components, fingerprints as fp, html, jaccard, langid, licenses, lines, packing, quality, registry, textvec, warc
+from corpusloom.llm import bpe, components, edits as distance_module, fingerprints as fp, html, jaccard, langid, licenses, lines, packing, quality, registry, textvec, warc
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGES = [(1, None), (2, ""), (3, " \n\t "), (4, "one two"), (5, "One  TWO"), (6, "x" * 200_000), (7, "a b c d e f " * 30_000), (8, "Same line of some words here.\nSame line of some words here.\nother"), (8, "dup id"), (None, "no id at all in this row")]
@@ -470,6 +470,20 @@ def edits(a, b):
     return row[-1]
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="ab é漢", max_size=90), st.text(alphabet="ab é漢", max_size=90)), max_size=4), st.integers(1, 80))
+def test_op10_edit_distances(pairs, copies):
+    pairs = pairs * copies  # enough of one size to be measured together
+    assert distance_module.distances([a for a, _ in pairs], [b for _, b in pairs]).tolist() == [edits(a, b) for a, b in pairs[: len(pairs) // copies]] * copies
+
+
+def test_op10_edit_distances_many():
+    rng = np.random.default_rng(5)
+    left = ["".join(chr(97 + c) for c in rng.integers(0, 4, int(rng.integers(60, 140)))) for _ in range(700)]
+    right = [x[: int(rng.integers(0, 20))] + "y" + x[int(rng.integers(20, 50)) :] for x in left]
+    assert distance_module.distances(left, right).tolist() == [edits(a, b) for a, b in zip(left, right, strict=True)]
+
+
 def test_op10_exact(spark, sf_dir, texts):
     got = {r.doc_id: r for r in registry.QUERIES["op10_line_dedup"](spark, sf_dir).collect()}
     seen, fuzzy = {}, []
