@@ -481,7 +481,10 @@ def test_op10_edit_distances_many():
     rng = np.random.default_rng(5)
     left = ["".join(chr(97 + c) for c in rng.integers(0, 4, int(rng.integers(60, 140)))) for _ in range(700)]
     right = [x[: int(rng.integers(0, 20))] + "y" + x[int(rng.integers(20, 50)) :] for x in left]
-    assert distance_module.distances(left, right).tolist() == [edits(a, b) for a, b in zip(left, right, strict=True)]
+    want = np.array([edits(a, b) for a, b in zip(left, right, strict=True)])
+    assert distance_module.distances(left, right).tolist() == want.tolist()
+    for room in (want, want - 1, np.array([max(len(a), len(b)) // 10 for a, b in zip(left, right, strict=True)])):
+        assert (distance_module.within(left, right, room) == (want <= room)).all()
 
 
 def test_op10_exact(spark, sf_dir, texts):
