@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def selected_pages(pages: DataFrame, most: int) -> DataFrame:
-    """(doc, page_number, reasons, priority): up to ``most`` pages of a document that need a visual parse; pages have chars,
-    has_image, n_tables and n_drawings."""
-    rules = ((1, "table", F.col("n_tables") > 0), (2, "low text", F.col("has_image") & (F.col("chars") < 30)), (3, "figure", F.col("n_drawings") > 20), (4, "image", F.col("has_image")))
-    reasons = F.array_compact(F.array(*[F.when(hit, name) for _, name, hit in rules]))
-    first = F.array_min(F.array_compact(F.array(*[F.when(hit, F.lit(p)) for p, _, hit in rules])))
+# Why a page is chosen, the most urgent first, and what the summary table's page must say.
+REASONS = ("explicit_page", "cis_summary_table", "low_text", "image_heavy")
+SUMMARY_PHRASES = ("SAFEGUARDS TOTAL", "IG1", "IG2", "IG3")
+SUMMARY_LABELS = ("ig1", "ig2", "ig3", "safeguards", "total")
+
+
+def selected_pages(pages: DataFrame, most: int, min_chars: int = 160) -> DataFrame:
+    """(doc, page_number, reasons, priority): up to ``most`` pages of a document (0: all) that need a visual parse. Pages have
+    text and has_image, and maybe ``asked`` (boolean): named by the user."""
+    compact = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    asked = F.coalesce(F.col("asked"), F.lit(False)) if "asked" in pages.columns else F.lit(False)
+    summary = F.lit(True)
+    for phrase in SUMMARY_PHRASES:
+        summary = summary & F.contains(F.upper(compact), F.lit(phrase))
+    hits = (asked, summary, F.length(compact) < min_chars, F.col("has_image") & (F.length(compact) < 5 * min_chars))
+    reasons = F.array_compact(F.array(*[F.when(hit, name) for name, hit in zip(REASONS, hits, strict=True)]))
     w = Window.partitionBy("doc").orderBy("priority", "page_number")
-    got = pages.withColumn("reasons", reasons).where(F.size("reasons") > 0).withColumn("priority", first)
-    return got.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).select("doc", "page_number", "reasons", "priority")
+    got = pages.withColumn("reasons", reasons).where(F.size("reasons") > 0)
+    got = got.withColumn("priority", F.array_position(F.array(*map(F.lit, REASONS)), F.col("reasons")[0]) - 1)
+    got = got.withColumn("_n", F.row_number().over(w))
+    return (got.where(F.col("_n") <= most) if most else got).select("doc", "page_number", "reasons", "priority")
 
 
 def table_markdown(html: Column) -> Column:
@@ -39,8 +54,23 @@ def page_text(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(placed)), lambda b: b["t"]), "\n\n").alias("text"))
 
 
-def _tokens(c: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)))
+def _words(c: Column) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+(?:\\.[0-9]+)?)"), F.lit(1))
+
+
+def matching_share(left: str, right: str, least: float) -> Column:
+    """Twice the characters in matching blocks over the characters of both (difflib); 0 as soon as a bound shows less than
+    ``least``."""
+
+    @F.pandas_udf("double")
+    def share(a: pd.Series, b: pd.Series) -> pd.Series:
+        def one(x: str, y: str) -> float:
+            m = SequenceMatcher(None, x, y)
+            return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+
+        return pd.Series([one(*t) for t in zip(a, b, strict=True)], dtype="float64")
+
+    return share(left, right)
 
 
 def base_text(pages: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -50,13 +80,20 @@ def base_text(pages: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def accepted(candidates: DataFrame, least_chars: int = 40, share: float = 0.35, base_chars: int = 160, near: float = 0.75, alike: float = 0.97) -> DataFrame:
-    """Supplements (text, base) that are long enough, agree with a base text of some length, and are not in it already."""
-    base = F.coalesce("base", F.lit(""))
-    t, b = _tokens(F.col("text")), _tokens(base)
-    agrees = F.when(F.length(base) >= base_chars, F.size(F.array_intersect(t, b)) >= share * F.size(b)).otherwise(True)
-    ratio = F.least(F.length("text"), F.length(base)) / F.greatest(F.length("text"), F.length(base))
-    same = F.contains(base, F.col("text")) | ((ratio >= near) & (1 - F.levenshtein("text", base) / F.greatest(F.length("text"), F.length(base)) >= alike))
-    return candidates.where((F.length("text") >= least_chars) & agrees & ~F.coalesce(same, F.lit(False)))
+    """Supplements (text, base, and maybe ``reasons``) that are long enough, keep the labels of a summary table, share enough of
+    their words with a base text of some length, and are not in it already. Texts are compared by their words."""
+    c = candidates.withColumn("_t", _words(F.col("text"))).withColumn("_b", _words(F.col("base"))).withColumn("_x", F.array_join("_t", " ")).withColumn("_y", F.array_join("_b", " "))
+    own = F.size(F.array_distinct("_t"))
+    agrees = (F.length("_y") < base_chars) | (F.size(F.array_intersect("_t", "_b")) >= share * F.greatest(own, F.lit(1)))
+    labels = F.lit(True)
+    if "reasons" in candidates.columns:
+        table = F.coalesce(F.array_contains("reasons", "cis_summary_table"), F.lit(False))
+        labels = ~table | (F.size(F.array_intersect("_t", F.array(*map(F.lit, SUMMARY_LABELS)))) == len(SUMMARY_LABELS))
+    c = c.where((F.length("_x") >= least_chars) & agrees & labels & ~((F.length("_y") > 0) & F.contains("_y", F.col("_x"))))
+    ratio = F.least(F.length("_x"), F.length("_y")) / F.greatest(F.length("_x"), F.length("_y"))
+    c = c.withColumn("_near", F.when(ratio >= near, matching_share("_x", "_y", alike)).otherwise(0.0))
+    return c.where(F.col("_near") < alike).drop("_t", "_b", "_x", "_y", "_near")
+
 
 
 def with_supplements(base: DataFrame, extra: DataFrame) -> DataFrame:

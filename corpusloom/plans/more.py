@@ -76,12 +76,13 @@ def l3_near_duplicate_lines(spark, sf_dir):
     return ln.without_near_duplicates(lines.unionByName(shifted)).select("doc", "line_no", "text")
 
 
-@query("""WITH p AS (SELECT doc_id % 50 AS doc, doc_id AS page_number, n_chars % 100 AS chars, doc_id % 2 = 0 AS has_image, doc_id % 3 AS n_tables, doc_id % 40 AS n_drawings FROM documents),
-r AS (SELECT *, CASE WHEN n_tables > 0 THEN 1 WHEN has_image AND chars < 30 THEN 2 WHEN n_drawings > 20 THEN 3 WHEN has_image THEN 4 END AS priority FROM p)
+@query(r"""WITH p AS (SELECT doc_id % 50 AS doc, doc_id AS page_number, trim(regexp_replace(text || CASE WHEN doc_id % 11 = 0 THEN ' Safeguards total IG1 IG2 IG3' ELSE '' END, '\s+', ' ', 'g')) AS t, doc_id % 2 = 0 AS has_image, doc_id % 101 = 0 AS asked FROM documents),
+r AS (SELECT *, CASE WHEN asked THEN 0 WHEN contains(upper(t), 'SAFEGUARDS TOTAL') AND contains(upper(t), 'IG1') AND contains(upper(t), 'IG2') AND contains(upper(t), 'IG3') THEN 1 WHEN length(t) < 160 THEN 2 WHEN has_image AND length(t) < 800 THEN 3 END AS priority FROM p)
 SELECT doc, page_number, CAST(priority AS BIGINT) AS priority FROM r WHERE priority IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc ORDER BY priority, page_number) <= 8""")
 def l12_supplement_pages(spark, sf_dir):
     d = F.col("doc_id")
-    p = table(spark, sf_dir, "documents").select((d % 50).alias("doc"), d.alias("page_number"), (F.col("n_chars") % 100).alias("chars"), (d % 2 == 0).alias("has_image"), (d % 3).alias("n_tables"), (d % 40).alias("n_drawings"))
+    text = F.concat("text", F.when(d % 11 == 0, " Safeguards total IG1 IG2 IG3").otherwise(""))
+    p = table(spark, sf_dir, "documents").select((d % 50).alias("doc"), d.alias("page_number"), text.alias("text"), (d % 2 == 0).alias("has_image"), (d % 101 == 0).alias("asked"))
     return su.selected_pages(p, 8).select("doc", "page_number", F.col("priority").cast("long").alias("priority"))
 
 
@@ -253,7 +254,8 @@ def g12_canonical_imports(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("text is not null")
     turns = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("payload"))
     rows = imports.canonical(imports.loose_records(turns.select(F.col("conv_id").cast("string").alias("path"), "payload")))
-    kept = imports.reviewed(imports.row_keys(rows, F.col("record").cast("binary")), golden(spark, sf_dir))
+    corpus = chunks(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("chunk_index")).cast("string").alias("chunk_id"), "text")
+    kept = imports.reviewed(imports.row_keys(rows, F.col("record").cast("binary")), golden(spark, sf_dir), corpus)
     return kept.select(F.col("file").cast("long").alias("conv_id"), "query", "reference_answer", "score", "recommendation")
 
 

@@ -96,11 +96,29 @@ def test_loose_json(spark):
 
 def test_review(spark):
     source = "Passwords must be at least fourteen characters long for every account in the enterprise network today"
-    rows = [("k1", "How long must passwords be here?", "At least fourteen characters", source), ("k2", "Known question of old days?", "At least fourteen characters", source), ("k3", "How long must passwords be now?", "Bananas grow quickly", source)]
-    r = spark.createDataFrame(rows, "row_key string, query string, reference_answer string, source_text string")
-    got = {x.row_key: x for x in imports.reviewed(r, spark.createDataFrame([("known question of OLD days?",)], "query string")).collect()}
-    assert got["k1"].score >= 85 and got["k1"].recommendation == "Ready to add"
-    assert got["k2"].recommendation == got["k3"].recommendation == "Do not add"
+    rows = [("k1", "How long must passwords be here?", "At least fourteen characters", source, ["c1"]), ("k2", "Known question of old days, really?", "At least fourteen characters", source, ["c1"]), ("k3", "How long must passwords be now?", "Bananas grow quickly", source, ["c1"]), ("k4", "How long must passwords be then?", "At least fourteen characters", source, []), ("k5", "How long?", "", "", ["c9"])]
+    r = spark.createDataFrame(rows, "row_key string, query string, reference_answer string, source_text string, relevant_chunk_ids array<string>")
+    chunks = spark.createDataFrame([("c1", f"Intro. {source}. More of it."), ("c2", "Something else altogether")], "chunk_id string, text string")
+    got = {x.row_key: x for x in imports.reviewed(r, spark.createDataFrame([("known question of OLD days, really?",)], "query string"), chunks).collect()}
+    # Content 20, alignment 35, support 15, id 15 (8 if only suggested), question 10 (3), new 5.
+    assert {k: (x.score, x.recommendation) for k, x in got.items()} == {"k1": (100, "Ready to add"), "k2": (95, "Do not add"), "k3": (85, "Do not add"), "k4": (93, "Human review"), "k5": (14, "Do not add")}
+    assert got["k1"].positives == ["source aligned", "answer supported", "chunk id agrees"] and got["k4"].cautions == ["other chunk id suggested"] and "unknown chunk id" in got["k5"].cautions
+
+
+def test_record_discovery(spark):
+    payload = '{"meta": {"x": 1}, "data": [{"User Input": "Q", "nested": {"target": "A"}}, {"question": "Q2", "ideal-answer": {"role": "x", "page_content": "A2"}, "documents": [{"text": "S1"}, "S2"]}, {"chat": [{"speaker": "Human", "message": "Q3"}, {"author": "bot", "value": "A3"}]}, {"other": 1}]}'
+    rows = imports.loose_records(spark.createDataFrame([("f", payload)], "path string, payload string"))
+    got = imports.canonical(rows).select("query", "reference_answer", "source_text").collect()
+    assert [tuple(r) for r in got] == [("", "A", ""), ("Q2", "A2", "S1\n\nS2"), ("Q3", "A3", "")]
+
+
+def test_supplements(spark):
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base, base, []), (2, base + " more", base, []), (3, "new " * 30 + base, base, []), (4, "too short", base, []), (5, "alien text " + " ".join(f"other{i}" for i in range(30)), base, []), (6, base[:300] + " and quite new words after it to keep", "", ["cis_summary_table"]), (7, "IG1 IG2 IG3 Safeguards Total of all the controls that are here", "", ["cis_summary_table"])]
+    df = spark.createDataFrame(rows, "k int, text string, base string, reasons array<string>")
+    assert sorted(r.k for r in supplements.accepted(df).collect()) == [3, 7]
+    pages = spark.createDataFrame([(1, 1, "x" * 900, True, True), (1, 2, "Safeguards total IG1 IG2 IG3" + "x" * 900, False, False), (1, 3, "x", True, False), (1, 4, "x" * 500, True, False), (1, 5, "x" * 500, False, False)], "doc int, page_number int, text string, has_image boolean, asked boolean")
+    assert [(r.page_number, r.priority) for r in supplements.selected_pages(pages, 0).orderBy("priority").collect()] == [(1, 0), (2, 1), (3, 2), (4, 3)]
 
 
 def test_table_markdown(spark):
