@@ -8,6 +8,7 @@ and on rewrapped copies of them in which the telling tags are renamed, dropped o
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -29,7 +30,7 @@ CONTENT = frozenset("article main".split())
 BOILERPLATE = frozenset("nav aside footer form menu dialog button select textarea fieldset".split())
 MARKED = re.compile(r"(^|[-_])(ad|ads|advert|advertisement|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|pagination|popup|promo|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|widget)s?($|[-_])", re.I)
 
-PATH_DIM, WORD_DIM, EXTRA = 32, 32, 5
+PATH_DIM, WORD_DIM, EXTRA = 48, 32, 5
 
 
 @dataclass
@@ -42,12 +43,14 @@ class Block:
 @dataclass(frozen=True)
 class LabellerParams:
     """``pages``: bound of the training sample (chosen by hash over all pages). ``blocks``: pages with more blocks aren't
-    trained on. ``hidden``: cells in each direction. ``copies``: rewrapped copies of each sampled page. ``steps``: least number of updates, for small samples."""
+    trained on. ``hidden``: cells in each direction. ``copies``: rewrapped copies of each sampled page,
+    more where that makes fewer than ``least`` pages in all. ``steps``: least number of updates, for small samples."""
 
     pages: int = 250
     blocks: int = 400
     hidden: int = 16
     copies: int = 4
+    least: int = 800
     epochs: int = 14
     steps: int = 700
     rate: float = 0.01
@@ -148,12 +151,18 @@ def _token(t: str) -> np.ndarray:
     if t not in _hashed:
         if len(_hashed) > 100_000:
             _hashed.clear()
-        seed = int.from_bytes(t.encode("utf-8", "replace")[:64].ljust(8, b"\0"), "little") % (1 << 61)
+        seed = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "replace"), digest_size=8).digest(), "little")
         rng = np.random.default_rng(seed)
         _hashed[t] = (rng.integers(0, 2, PATH_DIM) * 2 - 1).astype(np.float32)
     return _hashed[t]
 
 
+def _names(step: str) -> list[str]:
+    """The tag and the marks of a step, and the parts of marks like article-body, so that a name is known by its parts."""
+    marks = step.split(".")
+    return marks + [x for m in marks if "-" in m or "_" in m for x in re.split("[-_]+", m) if x]
+
+
 def features(pages: list[list[Block]]) -> list[np.ndarray]:
     """For each page a (blocks, PATH_DIM + WORD_DIM + EXTRA) array."""
     flat = [b for p in pages for b in p]
@@ -166,7 +175,7 @@ def features(pages: list[list[Block]]) -> list[np.ndarray]:
         if v is None:
             v = np.zeros(PATH_DIM, np.float32)
             for depth, step in enumerate(reversed(b.path)):
-                for t in step.split("."):
+                for t in _names(step):
                     v += _token(t) / (1 + 0.3 * depth)
             known[b.path] = v = v / 2
         x[i, :PATH_DIM] = v
@@ -286,9 +295,9 @@ def _padded(pages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 def _rewrapped(page: list[Block], y: list[int], rng: np.random.Generator) -> tuple[list[Block], list[int]]:
     """A copy of a page with other wrappers and more kinds of boilerplate, made of its own words."""
     pick = lambda xs: xs[rng.integers(len(xs))]
-    good = pick(["article", "main", "div.content", "div.post", "section.entry", "div.story"])
-    bad = pick(["nav", "div.menu", "div.navbar", "ul.navigation", "header"])
-    swap = {"article": good, "nav": bad, "footer": pick(["footer", "div.footer", "section.site-footer"])}
+    good = pick(["article", "main", "div.content", "div.post", "section.entry", "div.story", "div.article-body", "div.content-main", "div.post-content", "div.entry-text"])
+    bad = pick(["nav", "div.menu", "div.navbar", "ul.navigation", "header", "div.article-menu", "div.content-nav", "div.main-menu"])
+    swap = {"article": good, "nav": bad, "footer": pick(["footer", "div.footer", "section.site-footer", "div.article-footer", "div.content-footer", "div.post-footer"])}
     outer = [] if rng.random() < 0.5 else [pick(["div", "div.wrap", "div.page", "section"])]
     blocks, labels = [], []
     pool = " ".join(b.text for b in page).split() or ["x"]
@@ -321,13 +330,12 @@ def train(html: list[str | None], p: LabellerParams = LabellerParams()) -> Label
     """A labeller from a bounded list of pages. Pages without any block are left out; with no page at all, every block
     is labelled by the untrained weights and the markup alone decides (see ``extract``)."""
     rng = np.random.default_rng(p.seed)
+    sample = [page for page in map(leaves, html[: p.pages]) if 0 < len(page) <= p.blocks]
+    copies = max(p.copies, p.least // max(len(sample), 1))
     data = []
-    for h in html[: p.pages]:
-        page = leaves(h)
-        if not page or len(page) > p.blocks:
-            continue
+    for page in sample:
         y = [by_markup(b) for b in page]
-        data += [(page, y)] + [_rewrapped(page, y, rng) for _ in range(p.copies)]
+        data += [(page, y)] + [_rewrapped(page, y, rng) for _ in range(copies)]
     model = Labeller.fresh(p)
     if not data:
         return model

@@ -115,6 +115,24 @@ def test_op2_other_wrappers(spark, sf_dir):
     assert [b.text for b, g in zip(blocks, good, strict=True) if g] == ["Title & more", "First bold text, with enough words to be prose.", "Second part of it, which goes on."]
 
 
+def test_op2_wrappers_with_one_beginning(spark, sf_dir):
+    """Names that begin alike (article-body, article-menu) are told apart by the rest."""
+    assert not np.array_equal(html._token("article-body"), html._token("article-menu"))
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    model = html.train(pages)
+    names = (("article-body", "article-menu", "article-footer"), ("content-main", "content-nav", "content-footer"))
+    hit = 0
+    for main, menu, foot in names:
+        text = [f"Sentence number {i} of the report says that the council will meet again, as planned." for i in range(5)]
+        page = f'<html><body><div class="{menu}"><ul><li><a href="/">Home</a></li><li><a href="/x">News</a></li></ul></div><div class="{main}"><h1>The report</h1>' + "".join(f"<p>{t}</p>" for t in text) + f'</div><div class="{foot}"><p>All rights reserved</p><a href="/p">Privacy</a></div></body></html>'
+        blocks = html.leaves(page)
+        good = model.label(html.features([blocks]))[0] >= 0.5
+        got = [b.text for b, g in zip(blocks, good, strict=True) if g]
+        hit += sum(t in got for t in text)
+        assert not {"Home", "News", "Privacy"} & set(got)
+    assert hit >= 8
+
+
 def test_op2_gradients():
     rng = np.random.default_rng(0)
     model = html.Labeller.fresh(html.LabellerParams(hidden=3))
