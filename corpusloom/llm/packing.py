@@ -26,7 +26,8 @@ class PackParams:
     """``full``: bins with at most this many free tokens are emitted at once. ``fan_in``: how many tasks' underfull
     bins meet in one task of the next round. ``bins_per_task``: no task of a later round gets more bins on average; where
     that allows no fewer tasks, the bins are dealt anew. ``gain``: then a round that merges a smaller share of its
-    bins is the last, as what is left hardly fits together."""
+    bins is the last, as what is left hardly fits together. ``batch_rows``: items, or the documents they are made of,
+    that go to Python at a time in the first job."""
 
     capacity: int = 4096
     end_id: int = 1
@@ -35,6 +36,7 @@ class PackParams:
     bins_per_task: int = 100_000
     pieces_per_task: int = 40_000
     gain: float = 0.01
+    batch_rows: int = 1000
 
 
 class _Words:
@@ -49,7 +51,7 @@ class _Words:
         self.model = Tokenizer.from_file(path)
         self.heads = {t.content[:2] for t in self.model.get_added_tokens_decoder().values()}
         self.between = int(self._whole([_BETWEEN])[0].item())
-        self.table = RunTable(self._encode)
+        self.table = RunTable(self._encode, slots=1 << 20)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
@@ -170,7 +172,7 @@ def pack(items: DataFrame, length: str = "length", p: PackParams = PackParams())
     """
     names = items.columns
     bins = stored(
-        items.select(F.array(F.struct(*names)).alias("members"), F.col(length).cast("int").alias("used"), F.abs(F.xxhash64(*names)).alias("mixed")), "items"
+        items.select(F.array(F.struct(*names)).alias("members"), F.col(length).cast("int").alias("used"), F.abs(F.xxhash64(*names)).alias("mixed")), "items", p.batch_rows
     )
     done: list[DataFrame] = []
     count = bins.count()

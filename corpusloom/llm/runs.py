@@ -14,7 +14,7 @@ import numpy as np
 from .textvec import hash_spans
 
 LONG = 64
-BLOCK_CHARS = 1 << 19
+BLOCK_CHARS = 1 << 18
 #: Code points with the Unicode property White_Space (fixed values).
 WHITE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 #: Kinds of code points below 256: 1 letter, 2 ASCII sign, 0 other.

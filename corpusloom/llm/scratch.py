@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _OWN: dict[str, str] = {}
 
 
@@ -22,17 +23,21 @@ def scratch_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
+def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back, which cuts the lineage. Nothing reads the shuffle
-    files of the write again, so Spark is told to delete them when it ends."""
+    files of the write again, so Spark is told to delete them when it ends. ``batch_rows``: rows of an Arrow batch on
+    the way to Python, for plans that send whole texts."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/corpusloom-{uuid.uuid4().hex}/{label}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    wanted = {CLEANUP: "true"} | ({} if batch_rows is None else {BATCH: str(batch_rows)})
+    before = {k: spark.conf.get(k, "false" if k == CLEANUP else "10000") for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 
