@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import trie, warc
+from . import substrings, trie, warc
 from .bpe import op7_byte_bpe
 from .fingerprints import op1_document_fingerprints
 from .html import op2_html_extraction
@@ -12,6 +12,7 @@ from .lines import op10_line_dedup
 from .licenses import op4_license_scans
 from .packing import op6_best_fit_packing
 from .quality import op3_quality_rules
+from .substrings import op11_substring_dedup
 from .trie import op12_prefix_trie
 
 QUERIES = {
@@ -27,8 +28,9 @@ QUERIES = {
         warc.op8_warc,
         op9_language_id,
         op10_line_dedup,
+        op11_substring_dedup,
         op12_prefix_trie,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op12_prefix_trie": trie.ORACLE}
+ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op11_substring_dedup": substrings.ORACLE, "op12_prefix_trie": trie.ORACLE}
