@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from . import substrings, trie, warc
+from . import collocations, substrings, trie, warc
 from .bpe import op7_byte_bpe
+from .collocations import op13_phrase_collocations
 from .fingerprints import op1_document_fingerprints
 from .html import op2_html_extraction
 from .jaccard import op5_ngram_jaccard_join
@@ -30,7 +31,13 @@ QUERIES = {
         op10_line_dedup,
         op11_substring_dedup,
         op12_prefix_trie,
+        op13_phrase_collocations,
     )
 }
 
-ORACLES: dict[str, str] = {"op8_warc": warc.ORACLE, "op11_substring_dedup": substrings.ORACLE, "op12_prefix_trie": trie.ORACLE}
+ORACLES: dict[str, str] = {
+    "op8_warc": warc.ORACLE,
+    "op11_substring_dedup": substrings.ORACLE,
+    "op12_prefix_trie": trie.ORACLE,
+    "op13_phrase_collocations": collocations.ORACLE,
+}
