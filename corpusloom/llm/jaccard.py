@@ -116,14 +116,14 @@ def least_overlap(n: int, percent: int) -> int:
 
 
 def prefixes(docs: DataFrame, doc_id: str, text: str, order: np.ndarray, p: JoinParams) -> DataFrame:
-    """(id, n, digest, keys, last): set size, digest of the set, and the prefix for l = 2 in the common order."""
+    """(id, own, n, digest, keys, last): row key, the document's own id, set size, digest of the set, and the prefix for l = 2 in the common order."""
     sent = docs.sparkSession.sparkContext.broadcast(order)
     bits = np.uint64(p.table_bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = sent.value
         for b in slices(batches):
-            ids, ns, digests, offsets, keys, lasts = column(b, doc_id), [], [], [0], [], []
+            ids, own, ns, digests, offsets, keys, lasts = column(b, "_row"), column(b, doc_id), [], [], [0], [], []
             for s in _sets(column(b, text), p.words):
                 n = len(s)
                 ns.append(n)
@@ -141,11 +141,11 @@ def prefixes(docs: DataFrame, doc_id: str, text: str, order: np.ndarray, p: Join
                 offsets.append(offsets[-1] + k)
             flat = np.concatenate(keys) if keys else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(lasts, pa.int64())],
-                ["id", "n", "digest", "keys", "last"],
+                [pa.array(ids, pa.int64()), pa.array(own, pa.int64()), pa.array(ns, pa.int32()), pa.array(digests, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat)), pa.array(lasts, pa.int64())],
+                ["id", "own", "n", "digest", "keys", "last"],
             )
 
-    return docs.select(doc_id, text).mapInArrow(run, "id long, n int, digest binary, keys array<long>, last long")
+    return docs.select("_row", doc_id, text).mapInArrow(run, "id long, own long, n int, digest binary, keys array<long>, last long")
 
 
 def boundary(reps: DataFrame, p: JoinParams) -> int:
@@ -197,12 +197,14 @@ def _held_here(a: Column, b: Column, p: JoinParams) -> Column:
     return F.when(a["id"] < b["id"], a["nth"]).otherwise(b["nth"]) >= need - after
 
 
-def measure(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: JoinParams) -> DataFrame:
-    """(a, b, inter, union) of pairs of documents, from their whole texts."""
+def measure(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: JoinParams, once: bool = False) -> DataFrame:
+    """(a, b, inter, union) of pairs of documents, from their whole texts. ``once``: keys may repeat, with the same text."""
     ids = stored(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "wanted")
     if small_enough(ids, p.broadcast_rows):
         ids = F.broadcast(ids)
     own = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    if once:
+        own = own.dropDuplicates(["id"])
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a").join(own.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,18 +219,43 @@ def measure(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: JoinPa
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, union long")
 
 
+def row_key(doc_id: str, text: str) -> Column:
+    """A 64-bit key of a row: rows of one id with different texts are told apart, rows equal in both are one document."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
-    """(doc_id, n_shingles, component_id, n_links) per document.
+    """(doc_id, n_shingles, component_id, n_connecting_links) per row.
 
-    Rows with a null id are ignored; ids are taken as unique. Null, empty and wordless texts have an empty
-    set and link with nothing. Equal sets link (their similarity is 1). n_links counts the verified links
-    between different sets that were needed to connect the document's class, not all that exist.
+    Ids may repeat: rows of one id are sets of their own. Null ids stay, and are no component_id unless all ids of the class
+    are null. Null, empty and wordless texts have an empty set and link with nothing. Equal sets link (their similarity is 1).
+    n_connecting_links counts the verified links between different sets that were needed to connect the row's class, not all
+    that exist. Other columns are ignored; an empty table gives no rows.
     """
-    docs = docs.where(F.col(doc_id).isNotNull())
+    rows = linked_rows(docs, doc_id, text, p)
+    return rows.select(F.col("own").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_connecting_links")
+
+
+def repeated(keys: DataFrame) -> DataFrame | None:
+    """The keys that more than one row has; None if there are none."""
+    twice = stored(keys.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"), "repeated")
+    return None if twice.isEmpty() else twice
+
+
+def linked_rows(docs: DataFrame, doc_id: str, text: str, p: JoinParams) -> DataFrame:
+    """(id, own, n, component, component_id, n_connecting_links): ``id`` is the key of a row, ``component`` the least key of its class."""
+    docs = docs.select(F.col(doc_id).cast('long').alias(doc_id), text, row_key(doc_id, text).alias("_row"))
+    return _linked(docs, doc_id, text, p)
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, p: JoinParams) -> DataFrame:
     order = classes(count_table(docs, text, p))
-    sets = stored(prefixes(docs, doc_id, text, order, p), "prefixes")
+    every = stored(prefixes(docs, doc_id, text, order, p), "prefixes")
+    sets, twice = every, repeated(every.select("id"))
+    if twice is not None:  # rows equal in id and text: one of them takes part
+        sets = every.join(twice, "id", "left_anti").unionByName(every.join(twice, "id", "left_semi").dropDuplicates(["id"]))
     classes_of = stored(
-        sets.where("digest is not null").groupBy("n", "digest").agg(F.min("id").alias("rep")), "classes"
+        sets.where("digest is not null").groupBy("n", "digest").agg(F.min("id").alias("rep"), F.min("own").alias("least")), "classes"
     )
     copies = stored(sets.select("id", "n", "digest").join(classes_of, ["n", "digest"]).where("id <> rep").select("id"), "copies")
     if small_enough(copies, p.broadcast_rows):
@@ -254,7 +281,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     pair = lambda a, b: (F.least(f"{a}.id", f"{b}.id").alias("a"), F.greatest(f"{a}.id", f"{b}.id").alias("b"))
     stars = stored(shared.where("head.id <> m.id").where(held("head", "m")).select(*pair("head", "m")).distinct(), "stars")
-    known = stored(measure(stars, docs, doc_id, text, p), "known")
+    known = stored(measure(stars, docs, "_row", text, p, twice is not None), "known")
     link = F.col("inter") * 100 >= F.col("union") * p.percent
     first = stored(connected_components(known.where(link), "a", "b"), "first")
 
@@ -265,7 +292,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     second = labelled.where("component = head_component and m.id <> head.id").groupBy("key").agg(F.min_by("m", F.xxhash64("key", "m.id")).alias("o"))
     tries = labelled.where("component <> head_component").join(second, "key").where(held("m", "o")).select(*pair("m", "o")).distinct()
     tries = stored(tries.join(known.select("a", "b"), ["a", "b"], "left_anti"), "tries")
-    tried = stored(measure(tries, docs, doc_id, text, p), "tried")
+    tried = stored(measure(tries, docs, "_row", text, p, twice is not None), "tried")
     first = stored(connected_components(known.where(link).unionByName(tried.where(link)), "a", "b"), "second")
     labelled = stored(_label(labelled.select("key", "m", "head"), first, known), "labelled_again")
     x = labelled.where("component <> head_component").select("key", "m", F.col("component").alias("cm"), F.col("far").alias("fm"), "head_component")
@@ -280,18 +307,21 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     )
     measured = known.unionByName(tried)
     rest = stored(rest.join(measured.select("a", "b"), ["a", "b"], "left_anti"), "rest")
-    more = stored(measure(rest, docs, doc_id, text, p).where(link).select("a", "b"), "more")
+    more = stored(measure(rest, docs, "_row", text, p, twice is not None).where(link).select("a", "b"), "more")
     links = measured.where(link).select("a", "b").unionByName(more)
     final = connected_components(links, "a", "b")
 
     n_links = links.select(F.col("a").alias("rep")).unionAll(links.select(F.col("b").alias("rep"))).groupBy("rep").agg(F.count("*").alias("n_links"))
+    linked = classes_of.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    least = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("component_id"))
     named = (
-        classes_of.join(final.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        linked.join(least, "component", "left")
         .join(n_links, "rep", "left")
-        .select("n", "digest", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+        .select("n", "digest", F.coalesce("component", "rep").alias("component"), F.when(F.col("component").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     )
-    return sets.select("id", "n", "digest").join(named, ["n", "digest"], "left").select(
-        F.col("id").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")
+    alone = F.col("digest").isNull()
+    return every.select("id", "own", "n", "digest").join(named, ["n", "digest"], "left").select(
+        "id", "own", "n", F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component"), F.when(alone, F.col("own")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_connecting_links")
     )
 
 
@@ -314,8 +344,20 @@ def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest id stays."""
-    gone = stored(jaccard_components(docs).where("doc_id <> component_id").select("doc_id"), "copies")
-    if small_enough(gone, 500_000):
-        gone = F.broadcast(gone)
-    return docs.join(gone, "doc_id", "left_anti")
+    """Pipeline stage: of each group of linked documents the row with the smallest id stays (of equal ids, that of the smallest
+    key; null ids come last), and of rows equal in id and text one.
+
+    Null, empty and wordless texts link with nothing and stay. Repeated ids with different texts are documents of their
+    own. All columns of ``docs`` are returned; an empty table gives an empty one.
+    """
+    rows = stored(linked_rows(docs, "doc_id", "text", JoinParams()).select("id", "own", "component"), "classes_of_rows")
+    first = F.struct(F.col("own").isNull(), "own", "id")
+    best = rows.groupBy("component").agg(F.min(first).alias("best"), F.count("*").alias("c")).where("c > 1")
+    gone = stored(rows.join(best, "component").where(F.col("id") != F.col("best.id")).select(F.col("id").alias("_row")).distinct(), "copies")
+    side = F.broadcast(gone) if small_enough(gone, 500_000) else gone
+    kept = docs.withColumn("_row", row_key("doc_id", "text")).join(side, "_row", "left_anti")
+    twice = repeated(rows.select("id"))
+    if twice is not None:
+        twice = twice.withColumnRenamed("id", "_row")
+        kept = kept.join(twice, "_row", "left_anti").unionByName(kept.join(twice, "_row", "left_semi").dropDuplicates(["_row"]))
+    return kept.select(*docs.columns)
