@@ -96,9 +96,9 @@ def count_table(docs: DataFrame, text: str, p: JoinParams) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(coded, pa.binary())], ["slot", "counts"])
 
     tables = docs.select(text).mapInArrow(count, "slot int, counts binary, more binary")
-    parts = tables.repartition("slot").mapInArrow(add, "slot int, counts binary").collect()  # 2**table_bits bytes in all
+    parts = stored(tables.repartition("slot").mapInArrow(add, "slot int, counts binary"), "counts")
     table = np.zeros(size, np.uint8)
-    for r in parts:
+    for r in parts.collect():  # 2**table_bits bytes in all
         table[r.slot * (size // slots) : (r.slot + 1) * (size // slots)] = np.frombuffer(r.counts, np.uint8)
     return table
 
