@@ -1,8 +1,9 @@
 """Phrase collocations: counts of n-grams in weighted acyclic automata, united by prefix range, composed for part lookups.
 
 1. Words and word pairs are counted by 64-bit hash in numpy, over all texts; hashes that reach the least count leave a bit in
-   a map of fixed size. A phrase can only be frequent if its words and pairs have their bits, so the rest is passed over.
-   Hashes that collide or share a bit only let more through: nothing is decided here.
+   a map of fixed size. Longer n-grams whose words and pairs have their bits are then counted into a second map. A phrase
+   can only be frequent if it and all its parts have their bits, so the rest is passed over. Hashes that collide or
+   share a bit only let more through: nothing is decided here.
 2. Each task counts the n-grams left, sorts them and builds, key by key, a minimal acyclic transducer from n-gram to count
    for every range of prefixes. Each range unites the transducers of all tasks and sums their weights: exact counts.
 3. The parts of every candidate are asked of the range they belong to: the requests become a transducer of their own, and
@@ -30,7 +31,7 @@ Key = tuple[bytes, ...]  # language, then words
 @dataclass(frozen=True)
 class PhraseParams:
     """``longest``: words of a phrase. ``least``: occurrences of a candidate. ``nested_percent``: a phrase goes if a longer one
-    around it is that frequent beside it. ``top``: phrases of each language in the report. ``bits``: the map of frequent
+    around it is that frequent beside it. ``top``: phrases of each language in the report. ``bits``: each map of frequent
     hashes has 2**bits bits. ``slice_docs``: documents to a slice of the hashes. ``buffer``: n-grams that a task counts
     at a time. ``ranges``: prefix ranges; 0: as many as shuffle partitions. ``sample_docs``: about so many
     documents are looked at to find even ranges (nothing else depends on it). ``salts``: ways in which the requests to one
@@ -221,8 +222,23 @@ def _summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
 # Step 1
 
 
-def frequent_map(docs: DataFrame, lang: str, text: str, n_docs: int, p: PhraseParams) -> np.ndarray:
-    """The bit map of the hashes of words and pairs that may occur ``least`` times. Counts are kept up to that number."""
+def _passing(g: Grams, maps: list[np.ndarray], longest: int, p: PhraseParams) -> dict[int, np.ndarray]:
+    """For n up to ``longest`` the places where the n words lie in one piece and may be frequent with all their parts, by the
+    maps of pairs and of longer n-grams as far as there are any."""
+    ok = {1: _marked(maps[0], g.g[1], p) if maps else g.whole[1]}
+    for n in range(2, longest + 1):
+        m = len(g.g[n])
+        ok[n] = g.whole[n] & ok[n - 1][:m] & ok[n - 1][1:][:m]
+        level = 0 if n == 2 else 1
+        if level < len(maps):
+            at = np.flatnonzero(ok[n])
+            ok[n][at] = _marked(maps[level], g.g[n][at], p)
+    return ok
+
+
+def frequent_map(docs: DataFrame, lang: str, text: str, n_docs: int, orders: tuple[int, ...], sent, p: PhraseParams) -> np.ndarray:
+    """The bit map of the hashes of n-grams of these orders that may occur ``least`` times, among those that the maps in ``sent``
+    let through. Counts are kept up to that number."""
     cap = min(p.least, 255)
     k = min(max(6, (n_docs // p.slice_docs).bit_length()), p.bits - 6)
 
@@ -240,9 +256,11 @@ def frequent_map(docs: DataFrame, lang: str, text: str, n_docs: int, p: PhrasePa
         held, size = [], 0
         for b in slices(batches):
             for block, _, seeds in _blocks(b, lang, text):
-                g = Grams(block, seeds, 2)
-                held += [g.g[1], g.g[2][g.whole[2]]]
-                size += len(held[-1]) + len(held[-2])
+                g = Grams(block, seeds, max(orders))
+                ok = _passing(g, sent.value, max(orders), p)
+                for n in orders:
+                    held.append(g.g[n][ok[n]])
+                    size += len(held[-1])
                 if size > 3 * p.buffer:
                     yield emit()
                     held, size = [], 0
@@ -311,10 +329,8 @@ def range_bounds(docs: DataFrame, lang: str, text: str, n_docs: int, p: PhrasePa
 
 def _shards(docs: DataFrame, lang: str, text: str, sent, bounds: list[Key], p: PhraseParams) -> DataFrame:
     """(range, blob) transducers of each task, and (lang, n) numbers of words."""
-    cols = list(range(1, p.longest + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = sent.value
         names: dict[int, bytes] = {}
         seeds_of: dict[int, bytes] = {}
         total: dict[bytes, int] = {}
@@ -357,18 +373,13 @@ def _shards(docs: DataFrame, lang: str, text: str, sent, bounds: list[Key], p: P
                 each = np.bincount(g.doc, minlength=len(block))
                 for x, c in zip(langs, each.tolist(), strict=True):
                     total[x] = total.get(x, 0) + c
-                ok = {1: _marked(bits, g.g[1], p)}
+                ok = _passing(g, sent.value, p.longest, p)
                 known, at = np.unique(np.where(ok[1], g.h, g.h[:1] if len(g.h) else 0), return_index=True)
                 for w, i in zip(known.tolist(), at.tolist(), strict=True):
                     if w not in names:
                         names[w] = g.word(i)
                 rows = []
-                for n in cols:
-                    m = len(g.g[n])
-                    if n == 2:
-                        ok[2] = g.whole[2] & ok[1][:m] & ok[1][1:][:m] & _marked(bits, g.g[2], p)
-                    elif n > 2:
-                        ok[n] = g.whole[n] & ok[n - 1][:m] & ok[n - 1][1:][:m]
+                for n in range(1, p.longest + 1):
                     i = np.flatnonzero(ok[n])
                     r = np.zeros((len(i), p.longest + 3), np.uint64)
                     r[:, 0], r[:, 1], r[:, -1] = g.g[n][i], seeds[g.doc[i]], 1
@@ -486,7 +497,11 @@ def collocations(docs: DataFrame, lang: str = "lang", text: str = "text", p: Phr
     are ``und``; null, empty and wordless texts have no words; each of several equal rows counts. Other columns are ignored. No phrase: no rows.
     """
     n_docs = docs.count()
-    sent = docs.sparkSession.sparkContext.broadcast(frequent_map(docs, lang, text, n_docs, p))
+    context, maps = docs.sparkSession.sparkContext, []
+    for orders in ((1, 2), tuple(range(3, p.longest + 1))):
+        if orders:
+            maps.append(frequent_map(docs, lang, text, n_docs, orders, context.broadcast(list(maps)), p))
+    sent = context.broadcast(maps)
     bounds = range_bounds(docs, lang, text, n_docs, p)
     shards = stored(_shards(docs, lang, text, sent, bounds, p), "shards")
     frequent = stored(_united(shards.where("range is not null").select("range", "blob"), p), "counts")
