@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as fx
+from .alignment import aligned
 
 # Terms that make a question worth keeping, fields of a record.
 IMPORTANT = ("must", "minimum", "maximum", "require", "why", "how", "what", "frequency", "control", "safeguard", "risk", "define")
@@ -92,58 +90,6 @@ def coverage(records: DataFrame, target: int = 5) -> DataFrame:
     return every.join(have, "control", "left").select("control", n.alias("records"), F.greatest(F.lit(0), F.lit(target) - n).alias("remaining"))
 
 
-def shingles(c: Column, n: int) -> Column:
-    """Hashes of the distinct n-word shingles; of all words if there are fewer."""
-
-    def of(w: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(n)]))
-        return F.when(F.size(w) >= n, F.array_distinct(cut)).when(F.size(w) > 0, F.array(F.xxhash64(w))).otherwise(F.array().cast("array<bigint>"))
-
-    return fx.let(F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1)), of)
-
-
-def partial_ratio(needle: str, hay: str) -> Column:
-    """Matched characters relative to the needle's length."""
-
-    def one(a: str, b: str) -> float:
-        return sum(m.size for m in SequenceMatcher(None, b, a, autojunk=False).get_matching_blocks()) / max(1, len(a))
-
-    @F.pandas_udf(T.DoubleType())
-    def ratio(needles: pd.Series, hays: pd.Series) -> pd.Series:
-        return pd.Series([one(a, b) for a, b in zip(needles, hays, strict=True)], dtype="float64")
-
-    return ratio(needle, hay)
-
-
-def _pairs(sources: DataFrame, chunks: DataFrame, words: int, min_share: float) -> DataFrame:
-    plain = lambda c: fx.question_key(F.col(c))
-    s = sources.select("source_id", plain("text").alias("needle")).withColumn("sh", shingles(F.col("needle"), words)).withColumn("n", F.size("sh"))
-    grams = s.select("source_id", "n", F.explode("sh").alias("g"))
-    c = chunks.select("chunk_id", F.explode(shingles(plain("text"), words)).alias("g")).join(grams.select("g").distinct(), "g", "left_semi")
-    hits = grams.join(c, "g").groupBy("source_id", "chunk_id", "n").agg(F.count("*").alias("k")).where(F.col("k") >= F.col("n") * min_share)
-    return hits.join(s.select("source_id", "needle"), "source_id").join(chunks.select("chunk_id", plain("text").alias("hay")), "chunk_id")
-
-
-def contained(sources: DataFrame, chunks: DataFrame, words: int = 4) -> DataFrame:
-    """(source_id, chunk_id): the first chunk that has a passage whole. Such a chunk has all shingles inside the passage but
-    those its ends cut into words of the chunk's own, so a fifth of them is a safe bound for passages of some length."""
-    return _pairs(sources, chunks, words, 0.2).where(F.contains("hay", F.col("needle"))).groupBy("source_id").agg(F.min("chunk_id").alias("chunk_id"))
-
-
-def aligned(sources: DataFrame, chunks: DataFrame, least: float = 0.60, words: int = 4, min_share: float = 0.3) -> DataFrame:
-    """(source_id, chunk_id, score, status): the chunk that has a passage whole (score 1; the first by chunk_id), else the
-    one most like it. Both are looked for among chunks that share a ``words``-word shingle; a pair without one is not
-    seen, and similarity is only measured where ``min_share`` of the passage's shingles are shared."""
-    pairs = _pairs(sources, chunks, words, min_share).withColumn("whole", F.contains("hay", F.col("needle")))
-    has = pairs.where("whole").groupBy("source_id").agg(F.min("chunk_id").alias("chunk_id")).select("source_id", "chunk_id", F.lit(1.0).alias("score"))
-    rest = pairs.join(has.select("source_id"), "source_id", "left_anti").withColumn("score", F.round(partial_ratio("needle", "hay"), 6))
-    best = rest.groupBy("source_id").agg(F.max_by(F.struct("chunk_id", "score"), F.struct("score", "k")).alias("b")).select("source_id", "b.chunk_id", "b.score")
-    found = has.unionByName(best)
-    j = sources.select("source_id").join(found, "source_id", "left")
-    ok = F.coalesce(F.col("score") >= least, F.lit(False))
-    return j.select("source_id", F.when(ok, F.col("chunk_id")).alias("chunk_id"), F.coalesce("score", F.lit(0.0)).alias("score"), F.when(ok, "aligned").otherwise("unresolved").alias("status"))
-
-
 def overlap(answer: Column, source: Column) -> Column:
     """Share of the answer's words (without stop words) that the source has."""
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as fx
-from ..operators import audit, curation as cu, history as hi, jobs
+from ..operators import alignment, audit, curation as cu, history as hi, jobs
 from .documents import CHUNKS_SQL, chunks
 from .registry import query, table
 
@@ -282,18 +282,18 @@ def g11_coverage(spark, sf_dir):
     return cu.coverage(golden(spark, sf_dir), 12)
 
 
-@query(rf"WITH {CHUNKS_SQL}, c AS (SELECT doc_id * 1000 + chunk_index AS chunk_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS hay FROM chunks), s AS (SELECT item_id AS source_id, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS needle FROM benchmark) SELECT source_id, min(chunk_id) AS chunk_id FROM s JOIN c ON contains(hay, needle) GROUP BY 1")
+@query(rf"WITH {CHUNKS_SQL}, c AS (SELECT doc_id * 1000 + chunk_index AS chunk_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS hay FROM chunks), s AS (SELECT item_id AS source_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS needle FROM benchmark) SELECT source_id, min(chunk_id) AS chunk_id FROM s JOIN c ON contains(hay, needle) GROUP BY 1")
 def g1_source_alignment(spark, sf_dir):
     """The first step of G1: passages that a chunk has whole."""
     c = chunks(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
     s = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text")
-    return cu.contained(s, c)
+    return alignment.contained(s, c)
 
 
 @query()
 def g3_dataset_alignment(spark, sf_dir):
     c = chunks(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
-    return cu.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c)
+    return alignment.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c)
 
 
 _W = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import text as fx
-from ..operators import chunking, curation as cu, evaluation as ev, imports, jobs, lines as ln, retrieval as rt, reuse, supplements as su
+from ..operators import alignment, chunking, curation as cu, evaluation as ev, imports, jobs, lines as ln, retrieval as rt, reuse, supplements as su
 from ..sources import files
 from ..streaming import jobs as streams
 from .documents import CHUNKS_SQL, LINES_SQL, TOKENS, chunks, page_lines
@@ -274,7 +274,7 @@ def k12_chunking_summary(spark, sf_dir):
 def g6_optimise_dataset(spark, sf_dir):
     """Golden records realigned at 0.80: (source_id, chunk_id, score, status)."""
     c = chunks(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("chunk_index")).alias("chunk_id"), "text")
-    return cu.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c, 0.80)
+    return alignment.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c, 0.80, blank=True)
 
 
 @query("""WITH p AS (SELECT doc_id AS doc, n FROM documents, (SELECT unnest(range(3)) AS n)) SELECT doc, '5.' || (doc % 9) AS clause_number, string_agg('IG' || (n + 1), ',' ORDER BY n) AS groups FROM p WHERE (doc + n) % 2 = 0 GROUP BY doc""")

@@ -75,17 +75,6 @@ def test_progress(spark):
     assert abs(got[1] - (1 + 1 / 4) / 3) < 1e-6 and got[2] == 0.95
 
 
-def test_alignment(spark):
-    text = "the quick brown fox jumps over the lazy dog near the river bank"
-    chunks = spark.createDataFrame([(1, "nothing here at all my friend"), (2, f"Intro. {text} and more"), (3, text.replace("lazy", "sleepy"))], "chunk_id long, text string")
-    sources = spark.createDataFrame([(1, text), (2, text.replace("quick", "slow")), (3, "unrelated words that are not there")], "source_id long, text string")
-    got = {r.source_id: r for r in curation.aligned(sources, chunks).collect()}
-    assert (got[1].chunk_id, got[1].score, got[3].status) == (2, 1.0, "unresolved")
-    a, b = text.replace("quick", "slow"), f"intro. {text} and more"
-    want = sum(m.size for m in SequenceMatcher(None, b, a, autojunk=False).get_matching_blocks()) / len(a)
-    assert abs(got[2].score - round(want, 6)) < 1e-9
-
-
 def test_loose_json(spark):
     payloads = [("a", '[{"question": "Q1", "answer": "A1"}]'), ("b", '{"prompt": "Q2", "ground_truth": "A2", "context": ["x", "y"]}\n{broken\n{"query": "Q3"}'), ("c", "")]
     rows = imports.loose_records(spark.createDataFrame(payloads, "path string, payload string")).collect()
