@@ -12,7 +12,7 @@ ABSTENTION = "Question irrelevant to the document."
 
 
 def terms(c: Column) -> Column:
-    return F.regexp_extract_all(F.lower(c), F.lit("([a-z0-9]+)"), F.lit(1))
+    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, chunk_id: str = "chunk_id", k1: float = 1.2, b: float = 0.75) -> DataFrame:

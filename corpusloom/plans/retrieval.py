@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import text as fx
-from ..operators import evaluation as ev, retrieval as rt, reuse
+from ..operators import evaluation as ev, keyword, retrieval as rt, reuse
 from .documents import CHUNKS_SQL, chunks
 from .registry import query, table
 
@@ -32,7 +32,7 @@ def keyword_queries(spark, sf_dir) -> DataFrame:
 
 def keyword_ranked(spark, sf_dir, k: int = 10) -> DataFrame:
     ids = chunks(spark, sf_dir).withColumn("chunk_id", F.concat_ws("-", F.col("doc_id").cast("string"), F.lpad(F.col("chunk_index").cast("string"), 5, "0")))
-    return rt.top_k(rt.bm25(ids, keyword_queries(spark, sf_dir)), k, "chunk_id")
+    return keyword.bm25_top(ids.select("chunk_id", "text"), keyword_queries(spark, sf_dir), k)
 
 
 def vector_ranked(spark, sf_dir, k: int = 20) -> DataFrame:
