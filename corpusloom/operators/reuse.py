@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as fx
-from .retrieval import cosine
+from . import vectors
 
 # The settings that make up a configuration.
 SETTINGS = (
@@ -57,11 +57,7 @@ def semantic_matches(requests: DataFrame, responses: DataFrame, anchored: float
     a = requests.withColumn("clauses", F.to_json(fx.bounded_clauses(F.col("question")))).select("request_id", "configuration", "clauses", F.col("vector").alias("q"))
     b = responses.withColumn("clauses", F.to_json(fx.bounded_clauses(F.col("question")))).select("response_id", "configuration", "clauses", F.col("vector").alias("v"))
     need = F.when(F.col("clauses") == "[]", max(anchored, free)).otherwise(anchored)
-    pairs = a.join(b, ["configuration", "clauses"]).where(F.size("q") == F.size("v"))
-    if same_ids:
-        pairs = pairs.where("request_id <> response_id")
-    pairs = pairs.withColumn("similarity", F.round(cosine(F.col("q"), F.col("v")), 6)).where(F.col("similarity") >= need)
-    return _best(pairs.select("request_id", "response_id", "similarity"), "similarity")
+    return vectors.most_similar(a, b, need, ["configuration", "clauses"], other_ids=same_ids)
 
 
 def assisted(requests: DataFrame, responses: DataFrame, least: float = 0.72) -> DataFrame:
