@@ -219,9 +219,13 @@ def measure(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str, p: JoinPa
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, inter long, union long")
 
 
-def row_key(doc_id: str, text: str) -> Column:
-    """A 64-bit key of a row: rows of one id with different texts are told apart, rows equal in both are one document."""
-    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+def row_key(docs: DataFrame, doc_id: str, text: str) -> Column:
+    """A 64-bit key of a row: the document's id where ids are unique and not null. Otherwise a hash of id and text: rows of one id
+    with different texts are told apart, and rows equal in both are one document. (Ids are better where they can be: originals
+    tend to have smaller ones than their copies, and the smallest key of a group is compared with all.)"""
+    own = F.col(doc_id).cast("long")
+    clash = docs.select(own.alias("id")).groupBy("id").agg(F.count("*").alias("c")).where("c > 1 or id is null")
+    return own if clash.isEmpty() else F.xxhash64(own, F.col(text))
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", p: JoinParams = JoinParams()) -> DataFrame:
@@ -232,7 +236,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     n_connecting_links counts the verified links between different sets that were needed to connect the row's class, not all
     that exist. Other columns are ignored; an empty table gives no rows.
     """
-    rows = linked_rows(docs, doc_id, text, p)
+    rows = linked_rows(docs, row_key(docs, doc_id, text), doc_id, text, p)
     return rows.select(F.col("own").alias(doc_id), F.col("n").cast("long").alias("n_shingles"), "component_id", "n_connecting_links")
 
 
@@ -242,13 +246,9 @@ def repeated(keys: DataFrame) -> DataFrame | None:
     return None if twice.isEmpty() else twice
 
 
-def linked_rows(docs: DataFrame, doc_id: str, text: str, p: JoinParams) -> DataFrame:
+def linked_rows(docs: DataFrame, key: Column, doc_id: str, text: str, p: JoinParams) -> DataFrame:
     """(id, own, n, component, component_id, n_connecting_links): ``id`` is the key of a row, ``component`` the least key of its class."""
-    docs = docs.select(F.col(doc_id).cast('long').alias(doc_id), text, row_key(doc_id, text).alias("_row"))
-    return _linked(docs, doc_id, text, p)
-
-
-def _linked(docs: DataFrame, doc_id: str, text: str, p: JoinParams) -> DataFrame:
+    docs = docs.select(F.col(doc_id).cast("long").alias(doc_id), text, key.alias("_row"))
     order = classes(count_table(docs, text, p))
     every = stored(prefixes(docs, doc_id, text, order, p), "prefixes")
     sets, twice = every, repeated(every.select("id"))
@@ -350,12 +350,13 @@ def near_copy_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null, empty and wordless texts link with nothing and stay. Repeated ids with different texts are documents of their
     own. All columns of ``docs`` are returned; an empty table gives an empty one.
     """
-    rows = stored(linked_rows(docs, "doc_id", "text", JoinParams()).select("id", "own", "component"), "classes_of_rows")
+    key = row_key(docs, "doc_id", "text")
+    rows = stored(linked_rows(docs, key, "doc_id", "text", JoinParams()).select("id", "own", "component"), "classes_of_rows")
     first = F.struct(F.col("own").isNull(), "own", "id")
     best = rows.groupBy("component").agg(F.min(first).alias("best"), F.count("*").alias("c")).where("c > 1")
     gone = stored(rows.join(best, "component").where(F.col("id") != F.col("best.id")).select(F.col("id").alias("_row")).distinct(), "copies")
     side = F.broadcast(gone) if small_enough(gone, 500_000) else gone
-    kept = docs.withColumn("_row", row_key("doc_id", "text")).join(side, "_row", "left_anti")
+    kept = docs.withColumn("_row", key).join(side, "_row", "left_anti")
     twice = repeated(rows.select("id"))
     if twice is not None:
         twice = twice.withColumnRenamed("id", "_row")
