@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..sources.tables import fits, kept
+from . import ranks
+
 STAGES = ("extract", "clean", "headings", "tables", "sections", "chunks", "ids")
 
 
@@ -24,19 +27,24 @@ def last_marker(log: Column, phase: str | None = None) -> Column:
 
 
 def median_durations(jobs: DataFrame) -> DataFrame:
-    """(id, kind, median_seconds): the median of the other finished runs of the kind. Computed from each kind's sorted
-    distinct durations, not from pairs of runs."""
-    from pyspark.sql import Window
-
-    d = jobs.where("finished_at is not null and started_at is not null").withColumn("d", F.col("finished_at") - F.col("started_at"))
-    w = Window.partitionBy("kind").orderBy("d", "id")
-    ranked = d.withColumn("r", F.row_number().over(w)).withColumn("n", F.count("*").over(Window.partitionBy("kind")))
-    # Without the run of rank r, ranks above it move down by one. The median of n - 1 is at its middle one or two.
-    mid = ranked.select("kind", "d", "r").withColumnRenamed("r", "at")
-    lo = F.floor((F.col("n") - 2) / 2) + 1
-    hi = F.floor((F.col("n") - 1) / 2) + 1
-    want = ranked.where("n > 1").select("id", "kind", "r", F.explode(F.array(lo, hi)).alias("k")).withColumn("at", F.when(F.col("k") >= F.col("r"), F.col("k") + 1).otherwise(F.col("k")))
-    return want.join(mid, ["kind", "at"]).groupBy("id", "kind").agg(F.avg("d").alias("median_seconds"))
+    """(id, kind, median_seconds): the median of the other finished runs of the kind; kinds with one run have none.
+
+    Without the run of rank r, ranks above it move down by one, so at most four ranks of a kind matter to all its
+    runs; they are found by distributed ranks and joined with the runs.
+    """
+    d = jobs.where("finished_at is not null and started_at is not null").select("id", "kind", (F.col("finished_at") - F.col("started_at")).alias("d"))
+    rows, sizes = ranks.ranked(d, "kind", ["d", "id"])
+    rows = kept(rows, "ranked")
+
+    def middle(n: Column) -> list[Column]:
+        low, high = ranks.halves(n - 1)
+        return [low, low + 1, high, high + 1]
+
+    found = ranks.at_ranks(rows, sizes.where("_n > 1"), "kind", "d", middle).withColumnRenamed("kind", "_kind")
+    joined = rows.join(F.broadcast(found) if fits(found, 100_000) else found, F.col("kind").eqNullSafe(F.col("_kind")))
+    value = lambda k: F.col("_values")[F.when(k >= F.col("_rank"), k + 1).otherwise(k)]
+    low, high = ranks.halves(F.col("_n") - 1)
+    return joined.select("id", "kind", ((value(low) + value(high)) / 2).alias("median_seconds"))
 
 
 def progress(jobs: DataFrame, medians: DataFrame, now: Column) -> DataFrame:

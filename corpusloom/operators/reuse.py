@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as fx
+from ..sources.tables import kept
 from . import vectors
 
 # The settings that make up a configuration.
@@ -36,19 +37,43 @@ def exact_reuse(requests: DataFrame, responses: DataFrame, ttl: float = 86_400.0
 
 def topic_matches(requests: DataFrame, responses: DataFrame, least: float = 0.50) -> DataFrame:
     """(request_id, response_id, overlap): the best response of the same configuration and clauses that shares two topic
-    words or more; the overlap is relative to the smaller set. Found by joining on the words."""
-    def prepared(df: DataFrame, key: str, n: str) -> DataFrame:
-        return df.select(key, "configuration", fx.topic_tokens(F.col("question")).alias("ts"), F.to_json(fx.bounded_clauses(F.col("question"))).alias("clauses")).withColumn(n, F.size("ts")).where(F.col(n) >= 2).select(key, "configuration", "clauses", n, F.explode("ts").alias("token"))
-
-    shared = prepared(requests, "request_id", "nq").join(prepared(responses, "response_id", "nr"), ["configuration", "clauses", "token"])
-    scored = shared.groupBy("request_id", "response_id", "nq", "nr").agg(F.count("*").alias("s")).where("s >= 2")
-    scored = scored.select("request_id", "response_id", F.round(F.col("s") / F.least("nq", "nr"), 6).alias("overlap")).where(F.col("overlap") >= least)
-    return _best(scored, "overlap")
-
-
-def _best(scored: DataFrame, by: str) -> DataFrame:
-    w = Window.partitionBy("request_id").orderBy(F.desc(by), "response_id")
-    return scored.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    words or more; the overlap is relative to the smaller set; ties by response id.
+
+    Equal questions are compared once. Sets are ordered by how rare their words are. A set of n words must share
+    o = max(2, ceil(least * n)) with any larger one, so both have one of their first n - o + 1 (the larger: size - o + 1) words in
+    common: each set is listed under these alone, once for each o it may meet. The commonest words of a set are never listed,
+    and a pair is taken up only at the rarest word it shares.
+    """
+    def sets(df: DataFrame, key: str) -> DataFrame:
+        return df.select(key, "configuration", fx.topic_tokens(F.col("question")).alias("ts"), F.to_json(fx.bounded_clauses(F.col("question"))).alias("clauses")).where(F.size("ts") >= 2)
+
+    group = ["configuration", "clauses", "ts"]
+    asked = kept(sets(requests, "request_id"), "asked")
+    given = sets(responses, "response_id").groupBy(*group).agg(F.min("response_id").alias("response_id"))
+    every = kept(asked.select(*group).distinct().withColumn("response_id", F.lit(None)).withColumn("side", F.lit("q")).unionByName(given.withColumn("side", F.lit("r"))), "sets")
+    words = every.select("configuration", "clauses", "side", F.xxhash64("ts").alias("h"), "ts", "response_id", F.explode("ts").alias("t"))
+    counts = words.groupBy("t").agg(F.count("*").alias("c"))
+    own = ["configuration", "clauses", "side", "ts", "response_id"]
+    ordered = kept(words.join(counts, "t").groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("order")), "ordered").withColumn("n", F.size("order"))
+
+    need = lambda n: F.greatest(F.lit(2), F.ceil(n * least)).cast("int")
+    # as the smaller set: its own o; as the larger one: every o that its words may serve, from 2 up to its own
+    small = ordered.withColumn("o", need(F.col("n")))
+    large = ordered.withColumn("o", F.explode(F.sequence(F.lit(2), need(F.col("n")))))
+    listed = lambda df, side: df.where(F.col("side") == side).select("configuration", "clauses", "o", "n", "ts", "order", "response_id", F.explode(F.slice("order", 1, F.col("n") - F.col("o") + 1)).alias("t"))
+
+    def pairs(a: DataFrame, b: DataFrame, strict: bool) -> DataFrame:
+        """``a`` the smaller (or, if not strict, equal) sets."""
+        b = b.select("configuration", "clauses", "o", "t", *[F.col(c).alias(f"_{c}") for c in ("n", "ts", "order", "response_id")])
+        j = a.join(b, ["configuration", "clauses", "o", "t"]).where(F.col("n") < F.col("_n") if strict else F.col("n") <= F.col("_n"))
+        common = F.array_intersect("order", "_order")
+        return j.where((F.element_at(common, 1) == F.col("t")) & (F.size(common) >= F.col("o"))).withColumn("overlap", F.round(F.size(common) / F.col("n"), 6))
+
+    one = pairs(listed(small, "q"), listed(large, "r"), False).select("configuration", "clauses", "ts", F.col("_response_id").alias("response_id"), "overlap")
+    two = pairs(listed(small, "r"), listed(large, "q"), True).select("configuration", "clauses", F.col("_ts").alias("ts"), "response_id", "overlap")
+    found = one.unionByName(two).where(F.col("overlap") >= least)
+    best = found.groupBy(*group).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "response_id")).alias("b"))
+    return asked.join(best, group).select("request_id", "b.response_id", (-F.col("b.o")).alias("overlap"))
 
 
 def semantic_matches(requests: DataFrame, responses: DataFrame, anchored: float = 0.88, free: float = 0.92, same_ids: bool = False) -> DataFrame:
