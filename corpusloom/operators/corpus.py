@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as fx
 from .lines import boilerplate_key, in_margin
@@ -34,24 +34,35 @@ def drift(frozen: DataFrame, now: DataFrame, key: str) -> DataFrame:
     return a.join(b, F.col("k") == F.col("j"), "full").select(F.coalesce("k", "j").alias("id"), state.alias("state"))
 
 
-def lower_percentiles(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
-    """Element ``int((n - 1) * p)`` of each group's sorted values, by counting distinct values, so that no group is collected."""
-    from pyspark.sql import Window
-
+def counted_ranks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _to, _n): the rank up to which each distinct value of a group reaches, and the group's size. The number of rows of a
+    group is its distinct values: for counts, lengths and tokens that is few, however many rows there are."""
     counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*by)
-    ranked = counted.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+    return counted.withColumn("_to", F.sum("_c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("_n", F.sum("_c").over(w))
+
+
+def lower_percentiles(df: DataFrame, by: list[str], value: str, p: float) -> DataFrame:
+    """Element ``int((n - 1) * p)`` of each group's sorted values, by counting distinct values, so that no group is collected."""
     at = F.floor((F.col("_n") - 1) * F.lit(p))
-    return ranked.where(F.col("_to") > at).groupBy(*by).agg(F.min(value).alias("value"))
+    return counted_ranks(df, by, value).where(F.col("_to") > at).groupBy(*by).agg(F.min(value).alias("value"))
+
+
+def medians(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value): the mean of the middle one or two values, found like the percentiles."""
+    reach = lambda r: F.min(F.when(F.col("_to") >= r, F.col(value)))
+    low, high = (r(F.col("_n")) for r in (lambda n: F.floor((n + 1) / 2), lambda n: F.floor(n / 2) + 1))
+    return counted_ranks(df, by, value).groupBy(*by).agg(((reach(low) + reach(high)) / 2).alias("value"))
 
 
 def output_manifest(chunks: DataFrame, by: list[str], least: int, most: int) -> DataFrame:
     t = F.col("token_count")
     facts = chunks.groupBy(*by).agg(
-        F.count("*").alias("chunks"), F.sum(t).alias("tokens"), F.round(F.avg(t), 6).alias("avg_tokens"), F.median(t).alias("median_tokens"),
+        F.count("*").alias("chunks"), F.sum(t).alias("tokens"), F.round(F.avg(t), 6).alias("avg_tokens"),
         F.count_if(t < least).alias("below_min"), F.count_if(t > most).alias("above_max"),
     )
-    return facts.join(lower_percentiles(chunks, by, "token_count", 0.95).withColumnRenamed("value", "p95_tokens"), by)
+    middle = medians(chunks, by, "token_count").withColumnRenamed("value", "median_tokens")
+    return facts.join(middle, by).join(lower_percentiles(chunks, by, "token_count", 0.95).withColumnRenamed("value", "p95_tokens"), by)
 
 
 def per_artifact(chunks: DataFrame, by: str) -> DataFrame:

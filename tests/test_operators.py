@@ -131,18 +131,6 @@ def test_sources(spark, tmp_path):
     assert files.strict_jsonl(spark, str(tmp_path / "out"), files.CHUNK_SCHEMA).first().metadata.chunk_id == "c1"
 
 
-def test_incremental_ingest(spark, tmp_path):
-    src, out = tmp_path / "in", tmp_path / "out"
-    spark.createDataFrame([(1, "one")], "chunk_id long, text string").write.parquet(str(src))
-    for n, row in enumerate([(1, "uno"), (2, "due")]):
-        s = streams.event_stream(spark, str(src), "chunk_id long, text string")
-        streams.ingest(s, lambda d: d, str(out), str(tmp_path / "cp")).awaitTermination()
-        if n == 0:
-            spark.createDataFrame([row, (3, "tre")], "chunk_id long, text string").write.mode("append").parquet(str(src))
-    last = max(int(p.name[2:]) for p in out.iterdir() if p.name.startswith("v="))
-    assert {r.chunk_id: r.text for r in spark.read.parquet(str(out / f"v={last}")).collect()} == {1: "uno", 3: "tre"}
-
-
 def test_layout_folds(spark):
     rows = [(1, 1, 0, "abc", 10.0, 10.0), (1, 1, 1, "abcd", 10.5, 10.5), (1, 1, 2, "zz", 90.0, 10.0)]
     df = spark.createDataFrame(rows, "doc long, page_number long, line_no long, text string, x0 double, y0 double")
