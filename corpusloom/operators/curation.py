@@ -10,7 +10,8 @@ from .alignment import aligned
 # Terms that make a question worth keeping, fields of a record.
 IMPORTANT = ("must", "minimum", "maximum", "require", "why", "how", "what", "frequency", "control", "safeguard", "risk", "define")
 REQUIRED = ("query", "relevant_chunk_ids", "reference_answer", "source_text", "verified", "provenance")
-OVERLAP_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "with")
+OVERLAP_STOP = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "under", "with")
+CANDIDATE, PROMOTED = "ui-generated-candidate", "human-reviewed-ui"
 
 
 def scope(chunk_id: Column) -> Column:
@@ -77,9 +78,16 @@ def appended(existing: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def promoted(candidates: DataFrame, decisions: DataFrame, existing: DataFrame) -> DataFrame:
-    """Candidates that a reviewer has approved in the decision table and that are new. Nothing is approved by itself."""
-    yes = decisions.where("decision = 'approve'").select("seq")
-    return appended(existing, candidates.join(yes, "seq", "left_semi"))
+    """Candidates that a reviewer has approved in the decision table (seq, decision) and that are new, as verified records. The table
+    may have the reviewer's own ``reference_answer`` and ``source_text``; they replace the candidate's. Nothing is approved by itself."""
+    edits = [x for x in ("reference_answer", "source_text") if x in decisions.columns]
+    yes = decisions.where("decision = 'approve'").dropDuplicates(["seq"]).select("seq", *[F.col(x).alias(f"_{x}") for x in edits])
+    made = candidates.join(yes, "seq")
+    for x in ("reference_answer", "source_text"):
+        text = F.coalesce(f"_{x}", x) if x in edits and x in candidates.columns else F.col(f"_{x}") if x in edits else F.col(x) if x in candidates.columns else F.lit("")
+        made = made.withColumn(x, F.trim(F.coalesce(text, F.lit(""))))
+    made = made.withColumn("verified", F.lit(True)).withColumn("provenance", F.lit(PROMOTED)).drop(*[f"_{x}" for x in edits])
+    return appended(existing, made)
 
 
 def coverage(records: DataFrame, target: int = 5) -> DataFrame:
@@ -91,26 +99,31 @@ def coverage(records: DataFrame, target: int = 5) -> DataFrame:
 
 
 def overlap(answer: Column, source: Column) -> Column:
-    """Share of the answer's words (without stop words) that the source has."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("([a-z0-9]+)"), F.lit(1)))
+    """Share of the answer's words (without stop words) that the source has. A number such as 5.3 is one word."""
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z0-9]+(?:\.[0-9]+)?)"), F.lit(1)))
     a = F.array_except(words(answer), F.array(*map(F.lit, OVERLAP_STOP)))
     return F.when(F.size(a) > 0, F.round(F.size(F.array_intersect(a, words(source))) / F.size(a), 6)).otherwise(0.0)
 
 
 def candidate_records(ranked: DataFrame, answers: DataFrame) -> DataFrame:
-    """Golden candidates from each question's best passage; unverified."""
-    top = ranked.where("rank = 1").join(answers.select("query_id", "answer"), "query_id")
-    return top.select("query_id", F.col("question").alias("query"), F.array("chunk_id").alias("relevant_chunk_ids"), F.col("answer").alias("reference_answer"), F.col("text").alias("source_text"), F.lit(False).alias("verified"), F.lit("query candidate").alias("provenance"))
+    """Golden candidates from each question's best passage, if it has an id; unverified, texts of question and answer trimmed."""
+    top = ranked.where("rank = 1 and chunk_id is not null").join(answers.select("query_id", "answer"), "query_id")
+    trimmed = lambda c: F.trim(F.coalesce(c, F.lit("")))
+    return top.select(
+        "query_id", trimmed("question").alias("query"), F.array("chunk_id").alias("relevant_chunk_ids"), trimmed("answer").alias("reference_answer"), F.coalesce("text", F.lit("")).alias("source_text"),
+        F.lit(False).alias("verified"), F.lit(CANDIDATE).alias("provenance"),
+    )
 
 
 def normalised_records(records: DataFrame, chunks: DataFrame, least: float = 0.60) -> DataFrame:
-    """Records ready for evaluation: those with a known id keep it, others take the chunk their source aligns with; ``error``
-    says why a record cannot be used. Records are (row_key, query, reference_answer, source_text, relevant_chunk_ids)."""
-    known = records.select("row_key", F.explode("relevant_chunk_ids").alias("chunk_id")).join(chunks.select("chunk_id"), "chunk_id", "left_semi").groupBy("row_key").agg(F.array_sort(F.collect_set("chunk_id")).alias("known"))
-    rest = records.join(known, "row_key", "left_anti").where(F.trim(F.coalesce("source_text", F.lit(""))) != "").select(F.col("row_key").alias("source_id"), F.col("source_text").alias("text"))
+    """Records ready for evaluation: those with known ids keep these in their order, others take the chunk their source aligns with;
+    ``error`` says why a record cannot be used. Records are (row_key, query, reference_answer, source_text, relevant_chunk_ids)."""
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    given = records.select("row_key", F.posexplode("relevant_chunk_ids").alias("_at", "chunk_id"))
+    known = given.join(chunks.select("chunk_id").distinct(), "chunk_id", "left_semi").groupBy("row_key").agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "chunk_id"))), lambda x: x["chunk_id"]).alias("known"))
+    rest = records.join(known, "row_key", "left_anti").where(~blank("source_text")).select(F.col("row_key").alias("source_id"), F.col("source_text").alias("text"))
     found = aligned(rest, chunks, least).where("chunk_id is not null").select(F.col("source_id").alias("row_key"), F.array("chunk_id").alias("found"))
     j = records.join(known, "row_key", "left").join(found, "row_key", "left")
-    blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     ids = F.coalesce("known", "found")
-    error = F.when(blank("query"), "no question").when(blank("reference_answer"), "no answer").when(ids.isNull(), "no chunk")
+    error = F.when(blank("query"), "no question").when(blank("reference_answer"), "no answer").when(blank("source_text"), "no source").when(ids.isNull(), "no chunk")
     return j.withColumn("relevant_chunk_ids", ids).withColumn("error", error).drop("known", "found")

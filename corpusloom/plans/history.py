@@ -270,11 +270,12 @@ def g9_append_new(spark, sf_dir):
     return cu.appended(g.where("seq % 3 = 0"), g.where("seq % 3 <> 0")).select("seq")
 
 
-@query(rf"WITH {GOLD_SQL}, k AS (SELECT *, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS k FROM gold) SELECT min(seq) AS seq FROM k WHERE seq % 3 = 1 AND seq % 2 = 0 AND k NOT IN (SELECT k FROM k WHERE seq % 3 = 0) GROUP BY k")
+@query(rf"WITH {GOLD_SQL}, k AS (SELECT *, trim(regexp_replace(lower(query), '\s+', ' ', 'g')) AS k FROM gold) SELECT seq, true AS verified, 'human-reviewed-ui' AS provenance, CASE WHEN seq % 4 = 0 THEN 'edited ' || seq ELSE trim(reference_answer, ' ') END AS reference_answer, 'source ' || seq AS source_text FROM k WHERE seq IN (SELECT min(seq) FROM k WHERE seq % 3 = 1 AND seq % 2 = 0 AND k NOT IN (SELECT k FROM k WHERE seq % 3 = 0) GROUP BY k)")
 def g10_promotion(spark, sf_dir):
     g = golden(spark, sf_dir)
-    decisions = g.select("seq", F.when(F.col("seq") % 2 == 0, "approve").otherwise("reject").alias("decision"))
-    return cu.promoted(g.where("seq % 3 = 1"), decisions, g.where("seq % 3 = 0")).select("seq")
+    own = F.col("seq").cast("string")
+    decisions = g.select("seq", F.when(F.col("seq") % 2 == 0, "approve").otherwise("reject").alias("decision"), F.when(F.col("seq") % 4 == 0, F.concat(F.lit(" edited "), own)).alias("reference_answer"), F.concat(F.lit("source "), own, F.lit(" ")).alias("source_text"))
+    return cu.promoted(g.where("seq % 3 = 1"), decisions, g.where("seq % 3 = 0")).select("seq", "verified", "provenance", "reference_answer", "source_text")
 
 
 @query(f"WITH {GOLD_SQL}, c AS (SELECT relevant_chunk_ids[1] AS c FROM gold), k AS (SELECT {CONTROL} AS control, count(*) AS n FROM c GROUP BY 1) SELECT i AS control, coalesce(n, 0) AS records, greatest(0, 12 - coalesce(n, 0)) AS remaining FROM range(1, 19) t(i) LEFT JOIN k ON k.control = i")
@@ -296,9 +297,9 @@ def g3_dataset_alignment(spark, sf_dir):
     return alignment.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c)
 
 
-_W = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+'))"
+_W = "list_distinct(regexp_extract_all(lower({}), '[a-z0-9]+(?:[.][0-9]+)?'))"
 
 
-@query(f"WITH {GOLD_SQL}, w AS (SELECT seq, list_filter({_W.format('query')}, lambda t: t NOT IN ({', '.join(repr(x) for x in cu.OVERLAP_STOP)})) AS a, {_W.format('reference_answer')} AS b FROM gold) SELECT seq, CASE WHEN len(a) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / CAST(len(a) AS DOUBLE), 6) END AS overlap FROM w")
+@query(f"WITH {GOLD_SQL}, w AS (SELECT seq, list_filter({_W.format('query')}, lambda t: t NOT IN ('a', 'an', 'and', 'are', 'as', 'at', 'be', 'by', 'for', 'from', 'in', 'is', 'it', 'of', 'on', 'or', 'that', 'the', 'this', 'to', 'under', 'with')) AS a, {_W.format('reference_answer')} AS b FROM gold) SELECT seq, CASE WHEN len(a) = 0 THEN 0 ELSE round(len(list_intersect(a, b)) / CAST(len(a) AS DOUBLE), 6) END AS overlap FROM w")
 def g19_answer_overlap(spark, sf_dir):
     return golden(spark, sf_dir).select("seq", cu.overlap(F.col("query"), F.col("reference_answer")).alias("overlap"))

@@ -294,16 +294,20 @@ def g6_optimise_dataset(spark, sf_dir):
     return alignment.aligned(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("source_id"), "text"), c, 0.80, blank=True)
 
 
-@query("""WITH p AS (SELECT doc_id AS doc, n FROM documents, (SELECT unnest(range(3)) AS n)) SELECT doc, '5.' || (doc % 9) AS clause_number, string_agg('IG' || (n + 1), ',' ORDER BY n) AS groups FROM p WHERE (doc + n) % 2 = 0 GROUP BY doc""")
+@query("""WITH p AS (SELECT doc_id AS doc, n FROM documents, (SELECT unnest(range(3)) AS n)), g AS (SELECT doc, string_agg('IG' || (n + 1), ',' ORDER BY n) FILTER ((doc + n) % 2 = 0) AS groups FROM p GROUP BY doc)
+SELECT doc, '5.' || (doc % 9) AS clause_number, CASE doc % 3 WHEN 0 THEN 'Devices' WHEN 1 THEN 'Users' END AS asset_type, coalesce(lang, 'none') AS security_function, groups FROM g JOIN documents ON doc_id = doc""")
 def c6_table_annotations(spark, sf_dir):
-    """Each document as one page of a table: three labels, a clause and a mark under every second label."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"))
+    """Each document as one page of a table: three labels, a clause, a mark under every second label, an asset type for two thirds and
+    the language between hyphens as security function."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), "lang")
     cell = lambda no, text, x: F.struct(F.lit(no).alias("line_no"), text.alias("text"), F.lit(x).alias("x0"))
     labels = [cell(n, F.lit(f"IG{n + 1}"), 100.0 * n) for n in range(3)]
-    marks = [cell(10 + n, F.when((F.col("doc") + n) % 2 == 0, "x").otherwise("-"), 100.0 * n + 5) for n in range(3)]
-    rows = F.explode(F.array(*labels, cell(5, F.concat(F.lit("5."), (F.col("doc") % 9).cast("string"), F.lit(" Clause")), 300.0), *marks))
+    marks = [cell(10 + n, F.when((F.col("doc") + n) % 2 == 0, chunking.MARK).otherwise("x"), 100.0 * n + 5) for n in range(3)]
+    asset = cell(20, F.when(F.col("doc") % 3 == 0, "Devices").when(F.col("doc") % 3 == 1, "Users").otherwise("Other"), 400.0)
+    function = cell(21, F.concat(F.lit("-"), F.coalesce("lang", F.lit("none")), F.lit("-")), 500.0)
+    rows = F.explode(F.array(*labels, cell(5, F.concat(F.lit("5."), (F.col("doc") % 9).cast("string")), 300.0), *marks, asset, function))
     lines = d.select("doc", F.lit(1).alias("page_number"), rows.alias("r")).select("doc", "page_number", "r.*")
-    return chunking.table_annotations(lines).select("doc", "clause_number", F.array_join("applicable_groups", ",").alias("groups"))
+    return chunking.table_annotations(lines).select("doc", "clause_number", "asset_type", "security_function", F.array_join("applicable_groups", ",").alias("groups"))
 
 
 @query(f"WITH {CLAUSE_SQL} SELECT doc, piece, row_number() OVER (PARTITION BY doc ORDER BY piece) - 1 AS chunk_index, CASE WHEN clause IS NULL THEN 'narrative' ELSE 'clause' END AS element_type, {TOKENS} AS token_count FROM pieces WHERE text <> ''")
@@ -332,10 +336,11 @@ def e9_example_rows(spark, sf_dir):
     return rows.select("query_id", F.array_join("retrieved_chunk_ids", ",").alias("retrieved"), F.size("contexts").cast("long").alias("contexts"), "answer")
 
 
-@query("WITH " + CAND_SQL + " SELECT query_id, question AS query, chunk_id, text AS source_text FROM cand WHERE rank = 1")
+@query("WITH " + CAND_SQL + " SELECT query_id, question AS query, chunk_id, text AS source_text, 'Answer ' || query_id AS reference_answer, false AS verified, 'ui-generated-candidate' AS provenance FROM cand WHERE rank = 1")
 def g8_candidate_records(spark, sf_dir):
-    answers = questions(spark, sf_dir).withColumn("answer", F.lit("A"))
-    return cu.candidate_records(candidates(spark, sf_dir), answers).select("query_id", "query", F.get("relevant_chunk_ids", F.lit(0)).alias("chunk_id"), "source_text")
+    answers = questions(spark, sf_dir).withColumn("answer", F.concat(F.lit(" Answer "), F.col("query_id").cast("string"), F.lit("  ")))
+    made = cu.candidate_records(candidates(spark, sf_dir), answers)
+    return made.select("query_id", "query", F.get("relevant_chunk_ids", F.lit(0)).alias("chunk_id"), "source_text", "reference_answer", "verified", "provenance")
 
 
 @query()
@@ -354,3 +359,70 @@ def a9_answer_keys(spark, sf_dir):
     c = candidates(spark, sf_dir).where("rank <= 5")
     q = questions(spark, sf_dir).withColumnRenamed("question", "query")
     return q.select("query_id", reuse.retrieval_key(q).alias("retrieval_key")).join(reuse.answer_keys(c, "Answer from the passages.", "model"), "query_id")
+
+
+# Scans and sinks: the documents are written in the shared folder as files of the kind in question and read back.
+def _folder(spark) -> str:
+    return f"{shared_dir(spark)}/corpusloom-{uuid.uuid4().hex}/files"
+
+
+@query("SELECT doc_id, lang, length(text) AS chars FROM documents")
+def s1_strict_jsonl(spark, sf_dir):
+    path = _folder(spark)
+    table(spark, sf_dir, "documents").select("doc_id", "lang", "text").write.json(path)
+    return files.strict_jsonl(spark, path, "doc_id long, lang string, text string").select("doc_id", "lang", F.length("text").cast("long").alias("chars"))
+
+
+@query("""SELECT CASE doc_id % 5 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'no text' ELSE CASE WHEN trim(coalesce(text, '')) = '' THEN 'no text' END END AS reason, count(*) AS n,
+CAST(sum(CASE WHEN doc_id % 5 > 1 AND trim(coalesce(text, '')) <> '' THEN length(text) ELSE 0 END) AS BIGINT) AS chars FROM documents GROUP BY 1""")
+def s3_lenient_chunks(spark, sf_dir):
+    """A fifth of the lines is cut off, another has no text."""
+    path, d = _folder(spark), F.col("doc_id")
+    whole = F.to_json(F.struct(F.when(d % 5 > 1, F.col("text")).alias("text"), F.struct(d.cast("string").alias("chunk_id")).alias("metadata")))
+    table(spark, sf_dir, "documents").select(F.when(d % 5 == 0, F.left(whole, F.length(whole) - 2)).otherwise(whole).alias("value")).write.text(path)
+    good, bad = files.lenient_chunks(spark, path)
+    both = good.select(F.lit(None).cast("string").alias("reason"), F.length("text").alias("c")).unionByName(bad.select("reason", F.lit(0).alias("c")))
+    return both.groupBy("reason").agg(F.count("*").alias("n"), F.sum("c").alias("chars"))
+
+
+@query("SELECT lang, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes FROM documents WHERE text IS NOT NULL AND lang IS NOT NULL GROUP BY 1")
+def s4_document_discovery(spark, sf_dir):
+    """A folder of files for each language, found by walking the tree."""
+    path = _folder(spark)
+    table(spark, sf_dir, "documents").where("text is not null and lang is not null").select(F.col("text").alias("value"), "lang").write.partitionBy("lang").text(path)
+    found = files.documents_in(spark, path, "*.txt")
+    return found.groupBy(F.regexp_extract("path", "lang=([^/]+)/", 1).alias("lang")).agg(F.sum("length").alias("bytes"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'not a PDF file name' WHEN doc_id % 7 = 1 THEN 'empty file' WHEN doc_id % 7 = 2 THEN 'larger than 10 MiB' WHEN doc_id % 7 = 3 AND NOT starts_with(coalesce(text, ''), '%PDF-') THEN 'no PDF header' END AS rejected FROM documents""")
+def s5_admission(spark, sf_dir):
+    """The documents as uploads: some with another name, without content, too long, or without the header."""
+    d, text = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    body = F.when(d % 7 == 1, "").when(d % 7 == 3, text).otherwise(F.concat(F.lit("%PDF-"), text))
+    uploads = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("up/"), d.cast("string"), F.when(d % 7 == 0, ".txt").otherwise(".PDF")).alias("path"), F.encode(body, "UTF-8").alias("content"))
+    return files.admission(uploads.withColumn("length", F.when(d % 7 == 2, files.MAX_UPLOAD + 1).otherwise(F.octet_length("content")))).select("doc_id", "rejected")
+
+
+@query(f"WITH {CHUNKS_SQL} SELECT doc_id || '-' || chunk_index AS chunk_id, length(text) AS chars, {TOKENS} AS token_count FROM chunks")
+def s6_chunk_sink(spark, sf_dir):
+    path, c = _folder(spark), chunks(spark, sf_dir)
+    meta = F.struct(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), fx.token_estimate(F.col("text")).cast("int").alias("token_count"))
+    files.write_chunks(c.select("text", meta.alias("metadata")), path)
+    return files.strict_jsonl(spark, path, files.CHUNK_SCHEMA).select("metadata.chunk_id", F.length("text").cast("long").alias("chars"), F.col("metadata.token_count").cast("long").alias("token_count"))
+
+
+@query("""WITH r AS (SELECT l.doc_id, d.text, CASE l.doc_id % 4 WHEN 0 THEN ['d' || l.doc_id, 'd' || (l.doc_id + 1)] WHEN 1 THEN ['no such', 'd' || l.doc_id] WHEN 2 THEN ['no such'] ELSE [] END AS ids, CASE WHEN l.doc_id % 3 < 2 THEN 'd' || l.doc_id END AS matched FROM labels l JOIN documents d ON d.doc_id = l.doc_id WHERE l.quality = 1),
+a AS (SELECT list('d' || doc_id) AS xs FROM documents), k AS (SELECT *, list_filter(ids, lambda x: list_contains(xs, x)) AS known FROM r, a)
+SELECT doc_id AS row_key, CASE WHEN matched IS NOT NULL AND NOT list_contains(known, matched) THEN matched ELSE array_to_string(known, ',') END AS relevant_chunk_ids, trim(text, ' ') AS source_text, true AS verified, 'human-reviewed-json-upload' AS provenance FROM k""")
+def g21_verified_records(spark, sf_dir):
+    """Labelled documents as reviewed imports; those of good quality are approved."""
+    d, own = F.col("doc_id"), F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    docs = table(spark, sf_dir, "documents")
+    after = F.concat(F.lit("d"), (d + 1).cast("string"))
+    ids = F.when(d % 4 == 0, F.array(own, after)).when(d % 4 == 1, F.array(F.lit("no such"), own)).when(d % 4 == 2, F.array(F.lit("no such"))).otherwise(F.array().cast("array<string>"))
+    reviews = table(spark, sf_dir, "labels").join(docs.select("doc_id", "text"), "doc_id").select(
+        d.alias("row_key"), "quality", F.lit("Why is it so?").alias("query"), F.lit("Because").alias("reference_answer"), F.col("text").alias("source_text"), ids.alias("relevant_chunk_ids"),
+        F.when(d % 3 < 2, own).alias("matched_chunk_id"), F.lit(90).alias("score"), F.lit(1.0).alias("alignment"), F.lit(1.0).alias("support"),
+    )
+    made = imports.verified_records(reviews, reviews.where("quality = 1").select("row_key"), docs.select(own.alias("chunk_id"), "text"))
+    return made.select("row_key", F.array_join("relevant_chunk_ids", ",").alias("relevant_chunk_ids"), "source_text", "verified", "provenance")

@@ -97,7 +97,7 @@ def test_review(spark):
 def test_record_discovery(spark):
     payload = '{"meta": {"x": 1}, "data": [{"User Input": "Q", "nested": {"target": "A"}}, {"question": "Q2", "ideal-answer": {"role": "x", "page_content": "A2"}, "documents": [{"text": "S1"}, "S2"]}, {"chat": [{"speaker": "Human", "message": "Q3"}, {"author": "bot", "value": "A3"}]}, {"other": 1}]}'
     rows = imports.loose_records(spark.createDataFrame([("f", payload)], "path string, payload string"))
-    got = imports.canonical(rows).select("query", "reference_answer", "source_text").collect()
+    got = imports.canonical(rows).orderBy("row_no").select("query", "reference_answer", "source_text").collect()
     assert [tuple(r) for r in got] == [("", "A", ""), ("Q2", "A2", "S1\n\nS2"), ("Q3", "A3", "")]
 
 
