@@ -169,8 +169,8 @@ def c11_sentence_split(spark, sf_dir):
 @query()
 def c12_greedy_packing(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    packed = chunking.packed_pieces(F.col("text"), chunking.ChunkParams())
-    return docs.select("doc_id", F.posexplode(packed).alias("piece_no", "piece"))
+    made = chunking.packed(docs.select("doc_id", "text"), ["doc_id"])
+    return made.select("doc_id", F.col("piece").cast("int").alias("piece_no"), F.col("text").alias("piece"))
 
 
 CHUNKS_SQL = "chunks AS (SELECT doc_id, CAST(i // 1360 AS BIGINT) AS chunk_index, substr(text, i + 1, 1600) AS text FROM (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1600 THEN [0] ELSE range(0, length(text), 1360) END) AS i FROM documents WHERE text IS NOT NULL))"

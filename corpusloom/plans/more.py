@@ -120,20 +120,30 @@ def c8_annotated_clauses(spark, sf_dir):
     return p.select("doc", "piece", chunking.annotated(F.col("text"), groups, F.lit("Data"), F.lit("")).alias("text"))
 
 
-@query()
+@query(f"""WITH {CLAUSE_SQL}, p AS (SELECT doc, piece, CASE WHEN piece % 3 = 0 THEN clause END AS clause, text FROM pieces WHERE text <> ''),
+f AS (SELECT *, CASE WHEN row_number() OVER w > 1 AND {TOKENS} < 40 AND lag(clause) OVER w IS NOT DISTINCT FROM clause THEN 0 ELSE 1 END AS new FROM p WINDOW w AS (PARTITION BY doc ORDER BY piece)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc ORDER BY piece) - 1 AS g FROM f) SELECT doc, CAST(g AS BIGINT) AS piece, max(clause) AS clause, string_agg(text, chr(10) ORDER BY piece) AS text FROM g GROUP BY doc, g""")
 def c13_merge_undersized(spark, sf_dir):
     p = chunking.clause_pieces(_clause_lines(spark, sf_dir)).withColumn("clause", F.when(F.col("piece") % 3 == 0, F.col("clause")))
-    got = p.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("piece", F.struct("clause", "text").alias("x")))).alias("ps"))
-    return got.select("doc", F.posexplode(chunking.merged_undersized(F.transform("ps", lambda s: s["x"]))).alias("piece", "x")).select("doc", "piece", "x.clause", "x.text")
+    return chunking.undersized_joined(p, ["doc"], "piece").select("doc", F.col("piece").cast("long").alias("piece"), "clause", "text")
 
 
-@query()
-def c14_global_merge(spark, sf_dir):
+def merged(spark, sf_dir) -> DataFrame:
+    """The clause pieces of the documents as chunks, merged."""
     p = chunking.clause_pieces(_clause_lines(spark, sf_dir))
-    rows = p.select(F.col("doc").alias("doc_id"), F.col("piece").alias("chunk_index"), "text", fx.token_estimate(F.col("text")).alias("token_count"), "clause", F.lit(1).cast("long").alias("page_start"), F.lit(1).cast("long").alias("page_end"), (F.col("piece") % 3).alias("depth"))
+    one = F.lit(1).cast("long")
+    rows = p.select(
+        F.col("doc").alias("doc_id"), F.col("piece").alias("chunk_index"), "text", fx.token_estimate(F.col("text")).alias("token_count"), "clause", one.alias("page_start"), one.alias("page_end"), (F.col("piece") % 3).alias("depth"),
+        F.when(F.col("clause").isNotNull(), "clause").otherwise("narrative").alias("element_type"), F.lit(None).cast("string").alias("table_annotation"),
+    )
     return chunking.merged_chunks(rows)
 
 
+@query()
+def c14_global_merge(spark, sf_dir):
+    return merged(spark, sf_dir)
+
+
 IDS_SQL = f"""{CHUNKS_SQL}, b AS (SELECT doc_id, chunk_index, CASE doc_id % 5 WHEN 0 THEN 'control' || lpad(CAST(doc_id % 12 AS VARCHAR), 2, '0') || '-safeguard' || (doc_id % 12) || '.4' WHEN 1 THEN 'glossary-' || chunk_index WHEN 2 THEN 'control07-overview' WHEN 3 THEN 'intro-' || chunk_index ELSE 'doc-' || chunk_index END AS base_id FROM chunks)"""
 
 

@@ -137,12 +137,6 @@ def test_layout_folds(spark):
     assert [r.text for r in lines.without_near_duplicates(df).orderBy("line_no").collect()] == ["abcd", "zz"]
 
 
-def test_merged_chunks(spark):
-    rows = [(1, 0, "a" * 400, 100, "5.1", 1, 1, 1), (1, 1, "b" * 40, 10, None, 1, 2, 2), (1, 2, "c" * 1600, 400, None, 3, 3, 1)]
-    got = chunking.merged_chunks(spark.createDataFrame(rows, chunking._MERGED)).orderBy("chunk_index").collect()
-    assert [(r.chunk_index, r.token_count, r.clause, r.page_end) for r in got] == [(0, 110, None, 2), (1, 400, None, 3)]
-
-
 def test_audit_fields(spark):
     assert one(spark, lambda c: audit.sanitised(c, 5), " a\x00b\x85cdefg ") == "abcde"
     assert one(spark, audit.is_auditable, "/API/rag/x") and not one(spark, audit.is_auditable, "/api/ragged")
