@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from .scratch import python_batches, small_enough, stored
 from .textvec import column, mix, slices
 
 SYMBOLS = 128
@@ -122,14 +123,15 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", p: HdPara
     return [r.lang for r in rows], protos / np.maximum(np.linalg.norm(protos, axis=1, keepdims=True), 1e-9)
 
 
-def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", p: HdParams = HdParams()) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score`` (cosine, 0 to 1); ``und`` and 0 for null texts, texts without a letter,
+def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "text", p: HdParams = HdParams(), echo: bool = True) -> DataFrame:
+    """``docs`` (without the text if not ``echo``: it need not come back from Python) with ``lang_pred`` and ``score`` (cosine, 0 to 1); ``und`` and 0 for null texts, texts without a letter,
     and all texts if the model has no language. Ties go to the first language in alphabetical order."""
     langs, protos = model
     mean = protos.mean(axis=0) if len(langs) > 1 else np.zeros(p.dims)
     centred = protos - mean
     centred /= np.maximum(np.linalg.norm(centred, axis=1, keepdims=True), 1e-9)
     base = docs.drop("lang_pred", "score")
+    others = [c for c in base.columns if echo or c != text]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = _vectors(p)
@@ -142,9 +144,10 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], text: str = "t
             best = cos.argmax(axis=1)
             score = np.where(has, np.clip(cos[np.arange(len(best)), best], 0, 1), 0.0)
             names = [langs[i] if h else "und" for i, h in zip(best, has, strict=True)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*b.schema.names, "lang_pred", "score"])
+            kept = [b.column(b.schema.get_field_index(c)) for c in others]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(names, pa.string()), pa.array(score, pa.float64())], [*others, "lang_pred", "score"])
 
-    return base.mapInArrow(run, T.StructType([*base.schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    return base.mapInArrow(run, T.StructType([*base.select(*others).schema, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -159,12 +162,21 @@ def op9_language_id(spark, sf_dir: str) -> DataFrame:
 
 #: A text that is like no learned language by this cosine is rejected by the pipeline.
 MIN_SCORE = 0.02
+#: Rows of an Arrow batch on the way to Python in the stage.
+STAGE_ROWS = 1000
 
 
 def language_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without a letter, and those unlike every learned language, go. Where no language could be
-    learned, nothing can be told about the others and only null and blank texts go."""
-    model = train(docs.where(~held_out()).select("text", "lang"))
+    learned, nothing can be told about the others and only null and blank texts go. Null and empty texts have no letter; ids and
+    other columns play no part, so repeated rows fare alike; an empty table gives an empty one."""
+    with python_batches(spark, STAGE_ROWS):
+        model = train(docs.where(~held_out()).select("text", "lang"))
     if not model[0]:
         return docs.where(F.col("text").rlike(r"\S"))
-    return predict(docs, model).where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(*docs.columns)
+    # A text is judged by itself: only texts and two hashes of each go to Python, and the hashes of those to leave out come back.
+    k1, k2 = F.xxhash64("text").alias("_k1"), F.xxhash64(F.lit(9), "text").alias("_k2")
+    judged = predict(docs.where("text is not null").select("text", k1, k2), model, echo=False)
+    gone = stored(judged.where((F.col("lang_pred") == "und") | (F.col("score") < MIN_SCORE)).select("_k1", "_k2").distinct(), "unlike", STAGE_ROWS)
+    side = F.broadcast(gone) if small_enough(gone, 500_000) else gone
+    return docs.where("text is not null").withColumn("_k1", k1).withColumn("_k2", k2).join(side, ["_k1", "_k2"], "left_anti").select(*docs.columns)

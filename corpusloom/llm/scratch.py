@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,6 +42,17 @@ def stored(df: DataFrame, label: str, batch_rows: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def python_batches(spark: SparkSession, rows: int):
+    """Arrow batches of so many rows for the jobs run within."""
+    before = spark.conf.get(BATCH, "10000")
+    spark.conf.set(BATCH, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def drop(df: DataFrame) -> None:
     """Delete the files of a table made by ``stored`` that no later step reads."""
     spark = df.sparkSession
