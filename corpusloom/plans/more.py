@@ -161,7 +161,7 @@ def c16_semantic_ids(spark, sf_dir):
 def c19_supplement_acceptance(spark, sf_dir):
     """Every second page's text, shortened, is offered as a supplement of its document's chunks."""
     base = chunks(spark, sf_dir).select(F.col("doc_id").alias("doc"), "chunk_index", "text", F.col("chunk_index").alias("page_start"), F.col("chunk_index").alias("page_end"))
-    offered = base.where("doc % 2 = 0").select("doc", F.col("page_start").alias("page_number"), F.when(F.col("doc") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("| new | "), F.left("text", F.lit(600)))).alias("text"))
+    offered = base.where("doc % 2 = 0").select("doc", F.col("page_start").alias("page_number"), F.when(F.col("doc") % 4 == 0, F.col("text")).otherwise(F.concat(F.lit("| new | "), F.col("text"))).alias("text"))
     good = su.accepted(offered.join(su.base_text(offered, base), ["doc", "page_number"], "left"))
     return su.with_supplements(base, good).select("doc", "chunk_index", "page_start", "element_type")
 
@@ -359,7 +359,7 @@ def g18_normalised_records(spark, sf_dir):
     c = chunks(spark, sf_dir).select(F.concat_ws("-", F.col("doc_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "text")
     b = table(spark, sf_dir, "benchmark")
     ids = F.when(F.col("item_id") % 3 == 0, F.array(F.lit("1-0"))).otherwise(F.array(F.lit("none")))
-    r = b.select(F.col("item_id").alias("row_key"), F.left("text", F.lit(40)).alias("query"), F.col("text").alias("reference_answer"), F.col("text").alias("source_text"), ids.alias("relevant_chunk_ids"))
+    r = b.select(F.col("item_id").alias("row_key"), F.col("text").alias("query"), F.col("text").alias("reference_answer"), F.col("text").alias("source_text"), ids.alias("relevant_chunk_ids"))
     return cu.normalised_records(r, c).select("row_key", "relevant_chunk_ids", "error")
 
 

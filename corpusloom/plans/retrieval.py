@@ -243,10 +243,10 @@ def responses(req: DataFrame) -> DataFrame:
     return req.where("request_id % 2 = 0").select(F.col("request_id").alias("response_id"), "question", "configuration", F.col("asked_at").alias("created_at"))
 
 
-@query(r'''SELECT conv_id, turn, sha256('{"configuration":' || (conv_id % 3) || ',"question":"' || trim(regexp_replace(lower(text), '\s+', ' ', 'g')) || '","version":1}') AS key FROM conversations WHERE text IS NOT NULL AND NOT contains(text, chr(34)) AND NOT contains(text, chr(92))''')
+@query(r'''SELECT conv_id, turn, sha256('{"configuration":' || (conv_id % 3) || ',"question":' || CAST(to_json(trim(regexp_replace(lower(text), '\s+', ' ', 'g'))) AS VARCHAR) || ',"version":1}') AS key FROM conversations WHERE text IS NOT NULL''')
 def a2_response_key(spark, sf_dir):
     """A1 and A2: keys are digests of sorted JSON."""
-    c = table(spark, sf_dir, "conversations").where(F.col("text").isNotNull() & ~F.contains("text", F.lit('"')) & ~F.contains("text", F.lit("\\")))
+    c = table(spark, sf_dir, "conversations").where("text is not null")
     return c.select("conv_id", "turn", reuse.response_key(F.col("text"), F.col("conv_id") % 3).alias("key"))
 
 
