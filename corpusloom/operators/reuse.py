@@ -39,41 +39,45 @@ def topic_matches(requests: DataFrame, responses: DataFrame, least: float = 0.50
     """(request_id, response_id, overlap): the best response of the same configuration and clauses that shares two topic
     words or more; the overlap is relative to the smaller set; ties by response id.
 
-    Equal questions are compared once. Sets are ordered by how rare their words are. A set of n words must share
+    Equal questions are compared once. The words of a set are its ranks by how rare they are. A set of n words must share
     o = max(2, ceil(least * n)) with any larger one, so both have one of their first n - o + 1 (the larger: size - o + 1) words in
-    common: each set is listed under these alone, once for each o it may meet. The commonest words of a set are never listed,
-    and a pair is taken up only at the rarest word it shares.
+    common. The smaller set lists these; the larger lists each word with the most o that it may serve, under the powers of two up to
+    that, so that a list grows with the words of a set and not with their square. The commonest words of a set are never listed,
+    and a pair is taken up only at the rarest word it shares. Lists are joined by shuffles: their files are far smaller than their rows.
     """
-    def sets(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, "configuration", fx.topic_tokens(F.col("question")).alias("ts"), F.to_json(fx.bounded_clauses(F.col("question"))).alias("clauses")).where(F.size("ts") >= 2)
+    def sets(df: DataFrame, key: str, name: str) -> DataFrame:
+        made = df.select(key, "configuration", fx.topic_tokens(F.col("question")).alias("ts"), F.to_json(fx.bounded_clauses(F.col("question"))).alias("clauses"))
+        return kept(made, name).where(F.size("ts") >= 2)
 
     group = ["configuration", "clauses", "ts"]
-    asked = kept(sets(requests, "request_id"), "asked")
-    given = sets(responses, "response_id").groupBy(*group).agg(F.min("response_id").alias("response_id"))
-    every = kept(asked.select(*group).distinct().withColumn("response_id", F.lit(None)).withColumn("side", F.lit("q")).unionByName(given.withColumn("side", F.lit("r"))), "sets")
-    words = every.select("configuration", "clauses", "side", F.xxhash64("ts").alias("h"), "ts", "response_id", F.explode("ts").alias("t"))
-    counts = words.groupBy("t").agg(F.count("*").alias("c"))
-    own = ["configuration", "clauses", "side", "ts", "response_id"]
-    ordered = kept(words.join(counts, "t").groupBy(*own).agg(F.transform(F.array_sort(F.collect_list(F.struct("c", "t"))), lambda x: x["t"]).alias("order")), "ordered").withColumn("n", F.size("order"))
-
-    need = lambda n: F.greatest(F.lit(2), F.ceil(n * least)).cast("int")
-    # as the smaller set: its own o; as the larger one: every o that its words may serve, from 2 up to its own
-    small = ordered.withColumn("o", need(F.col("n")))
-    large = ordered.withColumn("o", F.explode(F.sequence(F.lit(2), need(F.col("n")))))
-    listed = lambda df, side: df.where(F.col("side") == side).select("configuration", "clauses", "o", "n", "ts", "order", "response_id", F.explode(F.slice("order", 1, F.col("n") - F.col("o") + 1)).alias("t"))
-
-    def pairs(a: DataFrame, b: DataFrame, strict: bool) -> DataFrame:
-        """``a`` the smaller (or, if not strict, equal) sets."""
-        b = b.select("configuration", "clauses", "o", "t", *[F.col(c).alias(f"_{c}") for c in ("n", "ts", "order", "response_id")])
-        j = a.join(b, ["configuration", "clauses", "o", "t"]).where(F.col("n") < F.col("_n") if strict else F.col("n") <= F.col("_n"))
-        common = F.array_intersect("order", "_order")
-        return j.where((F.element_at(common, 1) == F.col("t")) & (F.size(common) >= F.col("o"))).withColumn("overlap", F.round(F.size(common) / F.col("n"), 6))
-
-    one = pairs(listed(small, "q"), listed(large, "r"), False).select("configuration", "clauses", "ts", F.col("_response_id").alias("response_id"), "overlap")
-    two = pairs(listed(small, "r"), listed(large, "q"), True).select("configuration", "clauses", F.col("_ts").alias("ts"), "response_id", "overlap")
-    found = one.unionByName(two).where(F.col("overlap") >= least)
-    best = found.groupBy(*group).agg(F.min(F.struct((-F.col("overlap")).alias("o"), "response_id")).alias("b"))
-    return asked.join(best, group).select("request_id", "b.response_id", (-F.col("b.o")).alias("overlap"))
+    asked = sets(requests, "request_id", "asked")
+    given = sets(responses, "response_id", "given").groupBy(*group).agg(F.min("response_id").alias("response_id"))
+    both = asked.select(*group, F.lit(True).alias("q"), F.lit(None).alias("response_id")).unionByName(given.withColumn("q", F.lit(False)))
+    every = both.groupBy(*group).agg(F.max("q").alias("q"), F.min("response_id").alias("response_id"))
+    every = kept(every.withColumn("s", F.monotonically_increasing_id()), "sets")
+    words = every.select("s", F.explode("ts").alias("t"))
+    ranked = kept(words.groupBy("t").agg(F.count("*").alias("c")).orderBy("c", "t").select("t", F.monotonically_increasing_id().alias("w")), "words")
+    order = words.join(ranked.hint("merge"), "t").groupBy("s").agg(F.array_sort(F.collect_list("w")).alias("order"))
+    sized = kept(every.drop("ts").join(order.hint("merge"), "s").withColumn("n", F.size("order")), "ordered")
+
+    power = lambda c: F.floor(F.log2(c)).cast("int")
+    need = F.greatest(F.lit(2), F.ceil(F.col("n") * least)).cast("int")
+    keys = ["configuration", "clauses", "w", "p"]
+    small = sized.withColumn("o", need).withColumn("p", power(F.col("o")))
+    small = small.select("*", F.explode(F.slice("order", 1, F.col("n") - F.col("o") + 1)).alias("w"))
+    large = sized.select("*", F.posexplode(F.slice("order", 1, F.col("n") - 1)).alias("at", "w")).withColumn("o", F.least(need, F.col("n") - F.col("at")))
+    large = large.withColumn("p", F.explode(F.sequence(F.lit(1), power(F.col("o")))))
+    large = large.select(*keys, *[F.col(c).alias(f"_{c}") for c in ("o", "n", "s", "q", "response_id", "order")])
+    # the smaller set (or one as large) asks, or the larger one
+    up = F.col("q") & F.col("_response_id").isNotNull() & (F.col("n") <= F.col("_n"))
+    down = F.col("_q") & F.col("response_id").isNotNull() & (F.col("n") < F.col("_n"))
+    met = small.join(large.hint("merge"), keys).where((F.col("o") <= F.col("_o")) & (up | down)).withColumn("common", F.array_intersect("order", "_order"))
+    met = met.where((F.element_at("common", 1) == F.col("w")) & (F.size("common") >= F.col("o"))).withColumn("overlap", F.round(F.size("common") / F.col("n"), 6)).where(F.col("overlap") >= least)
+    hit = lambda s, r: F.struct(F.col(s).alias("s"), F.col(r).alias("response_id"))
+    found = met.select("overlap", F.explode(F.array_compact(F.array(F.when(up, hit("s", "_response_id")), F.when(down, hit("_s", "response_id"))))).alias("h"))
+    best = found.groupBy("h.s").agg(F.min(F.struct((-F.col("overlap")).alias("o"), "h.response_id")).alias("b"))
+    own = asked.join(every.select(*group, "s").hint("merge"), group)
+    return own.join(best.hint("merge"), "s").select("request_id", "b.response_id", (-F.col("b.o")).alias("overlap"))
 
 
 def semantic_matches(requests: DataFrame, responses: DataFrame, anchored: float = 0.88, free: float = 0.92, same_ids: bool = False) -> DataFrame:
