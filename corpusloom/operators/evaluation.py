@@ -13,6 +13,11 @@ def retrieval_rows(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     want = relevant.where(F.col("chunk_id").isNotNull()).distinct()
     sizes = relevant.groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n"))
     found = real.join(want, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.count("*").alias("c"), F.min("_r").alias("first"))
+    return _metrics(sizes, found)
+
+
+def _metrics(sizes: DataFrame, found: DataFrame) -> DataFrame:
+    """(query_id, hit, recall, mrr) from the number of relevant passages and what was found of them."""
     j = sizes.join(found, "query_id", "left")
     return j.select(
         "query_id", F.col("c").isNotNull().alias("hit"),
@@ -21,6 +26,24 @@ def retrieval_rows(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:
     )
 
 
+def labelled_rows(ranked: DataFrame, asked: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """``retrieval_rows`` where a question's (query_id, label) relevant passages are all (chunk_id, label) of its label. Relevant
+    passages are counted by label and never listed for each question; only ids with several labels are."""
+    w = Window.partitionBy("query_id").orderBy("rank")
+    real = ranked.where(F.col("chunk_id").isNotNull()).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k)
+    asked = asked.select("query_id", "label").distinct()
+    each = passages.where(F.col("chunk_id").isNotNull() & F.col("label").isNotNull()).groupBy("chunk_id").agg(F.collect_set("label").alias("labels"))
+    alone = each.where(F.size("labels") == 1).groupBy(F.col("labels")[0].alias("label")).agg(F.count("*").alias("n"))
+    several = each.where(F.size("labels") > 1).select("chunk_id", F.explode("labels").alias("label"))
+    more = asked.join(several, "label").groupBy("query_id").agg(F.count_distinct("chunk_id").alias("n"))
+    # a label whose passages have no id still has its questions, with nothing to find
+    without = passages.where("label is not null").select("label").distinct().select("label", F.lit(0).cast("long").alias("n"))
+    sizes = asked.join(alone.unionByName(without), "label").select("query_id", "n").unionByName(more).groupBy("query_id").agg(F.sum("n").alias("n"))
+    hits = real.join(each.select("chunk_id", F.explode("labels").alias("label")), "chunk_id").join(asked, ["query_id", "label"])
+    found = hits.select("query_id", "_r").distinct().groupBy("query_id").agg(F.count("*").alias("c"), F.min("_r").alias("first"))
+    return _metrics(sizes, found)
+
+
 def summary(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count("*").alias("queries"), *[F.round(F.avg(F.col(c).cast("double")), 6).alias(f"mean_{c}") for c in ("hit", "recall", "mrr")])
 

@@ -296,8 +296,8 @@ REL_SQL = f"{RANKED_SQL}, want AS (SELECT q.vec_id AS query_id, p.vec_id AS chun
 def _eval_rows(spark, sf_dir) -> DataFrame:
     e = table(spark, sf_dir, "embeddings")
     q = e.where(ASKED).select(F.col("vec_id").alias("query_id"), "label")
-    want = q.join(e.select(F.col("vec_id").alias("chunk_id"), "label"), "label").select("query_id", "chunk_id")
-    return ev.retrieval_rows(vector_ranked(spark, sf_dir).withColumnRenamed("passage_id", "chunk_id"), want, 10)
+    p = e.select(F.col("vec_id").alias("chunk_id"), "label")
+    return ev.labelled_rows(vector_ranked(spark, sf_dir).withColumnRenamed("passage_id", "chunk_id"), q, p, 10)
 
 
 @query(f"WITH {REL_SQL} SELECT * FROM e")
