@@ -39,6 +39,7 @@ class CellParams:
 
 
 SLACK = 2e-6  # similarities are compared after rounding to 6 places
+PAIRS = 1 << 16  # pairs of a row and a cell that a step holds at a time
 
 
 def _unit(m: np.ndarray) -> np.ndarray:
@@ -51,6 +52,14 @@ def _matrix(batch: pa.RecordBatch, name: str) -> np.ndarray:
     return np.asarray(col.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(len(col), -1)
 
 
+def _slices(batches, cells: int):
+    """The batches cut so that rows times ``cells`` stay near ``PAIRS``: memory follows neither the batch nor the number of cells."""
+    rows = max(1, PAIRS // max(cells, 1))
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def _angles(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(unit @ centroids.T, -1, 1))
 
@@ -78,9 +87,7 @@ def in_cells(vectors: DataFrame, centroids: np.ndarray) -> DataFrame:
     sent = vectors.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches, len(sent.value)):
             unit = _unit(_matrix(b, "v"))
             a = _angles(unit, sent.value)
             cell = a.argmin(1)
@@ -101,9 +108,7 @@ def _to_cells(questions: DataFrame, centroids: np.ndarray, radii: np.ndarray, ne
 
     def run(batches):
         c, r = sent.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in _slices(batches, len(r)):
             unit = _unit(_matrix(b, "q"))
             a = np.concatenate((_angles(unit, c), np.zeros((len(unit), 1))), 1)  # last: the vectors of length 0
             if nearest is not None:
