@@ -119,7 +119,9 @@ def assemble_spans(spans: DataFrame) -> DataFrame:
 
 
 def without_overlaps(spans: DataFrame, share: float = 0.70) -> DataFrame:
-    """Of spans of a line whose boxes overlap by more than ``share`` of the smaller, the longer text stays."""
+    """Of spans of a line whose boxes overlap by more than ``share`` of the smaller, the longer text stays. Spans are taken in
+    order, each against those kept so far. Only spans that are joined by overlaps in x can meet, so a line falls into runs of
+    such spans: a span alone in its run stays as it is, and the work grows with the spans and not with the square of a line."""
 
     def step(kept: Column, s: Column) -> Column:
         def clash(v: Column) -> Column:
@@ -134,5 +136,15 @@ def without_overlaps(spans: DataFrame, share: float = 0.70) -> DataFrame:
 
     keys = ["doc", "page_number", "line_no"]
     cols = ["span_no", *[c for c in spans.columns if c not in (*keys, "span_no")]]
-    line = spans.where(F.trim("text") != "").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))
-    return line.select(*keys, F.explode(F.aggregate("all", F.slice("all", 1, 0), step)).alias("s")).select(*keys, "s.*")
+    w = Window.partitionBy(*keys).orderBy("_left", "span_no")
+    # a box without a right edge, or without a number on the left, may meet any other
+    odd = F.isnan("x0")
+    left = F.when(odd, F.lit(float("-inf"))).otherwise(F.col("x0"))
+    flat = (F.col("y1") <= F.col("y0")) & ~F.isnan("y0")  # meets none; boxes are read in full on both ways below, which then share one shuffle
+    right = F.when(flat, F.lit(float("-inf"))).when(odd, F.lit(float("inf"))).otherwise(F.coalesce("x1", F.lit(float("inf"))))
+    placed = spans.where(F.trim("text") != "").withColumn("_left", left).withColumn("_far", F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    opens = placed.withColumn("_new", F.coalesce(F.col("_left") >= F.col("_far"), F.col("_far").isNull()))
+    runs = opens.withColumn("_alone", F.col("_new") & F.lead("_new", 1, True).over(w)).withColumn("_run", F.sum(F.col("_new").cast("long")).over(w))
+    met = runs.where("not _alone").groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))
+    left_over = met.select(*keys, F.explode(F.aggregate("all", F.slice("all", 1, 0), step)).alias("s")).select(*keys, "s.*")
+    return runs.where("_alone").select(*keys, *cols).unionByName(left_over)

@@ -59,7 +59,7 @@ def spans(spark, sf_dir) -> DataFrame:
 
 @query()
 def l1_span_overlaps(spark, sf_dir):
-    return ln.without_overlaps(spans(spark, sf_dir)).select("doc", "line_no", "span_no", "text")
+    return ln.without_overlaps(spans(spark, sf_dir).drop("font_size", "is_bold")).select("doc", "line_no", "span_no", "text")
 
 
 @query(f"""WITH {LINES_SQL}, w AS (SELECT doc, line_no, unnest(string_split(text, ' ')) AS text, unnest(range(len(string_split(text, ' ')))) AS span_no FROM lines), r AS (SELECT *, CASE WHEN length(text) % 2 = 0 THEN 12e0 ELSE 10e0 END AS size FROM w WHERE trim(text) <> ''),
