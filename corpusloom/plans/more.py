@@ -275,12 +275,17 @@ def e10_registry_summary(spark, sf_dir):
     return ev.registry_summary(maps, registry)
 
 
+def _transcripts(spark, sf_dir) -> DataFrame:
+    """Conversations as transcripts in loose JSON, read back as canonical records."""
+    c = table(spark, sf_dir, "conversations").where("text is not null")
+    turns = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("payload"))
+    return imports.canonical(imports.loose_records(turns.select(F.col("conv_id").cast("string").alias("path"), "payload")))
+
+
 @query()
 def g12_canonical_imports(spark, sf_dir):
     """Conversations as transcripts in loose JSON, read back and reviewed."""
-    c = table(spark, sf_dir, "conversations").where("text is not null")
-    turns = c.groupBy("conv_id").agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))).alias("messages"))).alias("payload"))
-    rows = imports.canonical(imports.loose_records(turns.select(F.col("conv_id").cast("string").alias("path"), "payload")))
+    rows = _transcripts(spark, sf_dir)
     corpus = chunks(spark, sf_dir).select((F.col("doc_id") * 1000 + F.col("chunk_index")).cast("string").alias("chunk_id"), "text")
     kept = imports.reviewed(imports.row_keys(rows, F.col("record").cast("binary")), golden(spark, sf_dir), corpus)
     return kept.select(F.col("file").cast("long").alias("conv_id"), "query", "reference_answer", "score", "recommendation")
@@ -288,7 +293,8 @@ def g12_canonical_imports(spark, sf_dir):
 
 @query("WITH m AS (SELECT conv_id, arg_max(text, turn) FILTER (role = 'user') AS query, arg_max(text, turn) FILTER (role = 'assistant') AS reference_answer FROM conversations WHERE text IS NOT NULL GROUP BY 1) SELECT conv_id, trim(coalesce(query, '')) AS query, trim(coalesce(reference_answer, '')) AS reference_answer FROM m")
 def g14_transcripts(spark, sf_dir):
-    return g12_canonical_imports(spark, sf_dir).select("conv_id", "query", "reference_answer")
+    """The records as read; a review adds columns to them and neither rows nor texts."""
+    return _transcripts(spark, sf_dir).select(F.col("file").cast("long").alias("conv_id"), "query", "reference_answer")
 
 
 @query(f"WITH {CHUNKS_SQL}, t AS (SELECT doc_id, {TOKENS} AS n FROM chunks) SELECT count(*) AS chunks, count(*) FILTER (n < 40) AS undersized, count(DISTINCT doc_id) AS documents, CAST(sum(n) AS BIGINT) AS tokens FROM t")
