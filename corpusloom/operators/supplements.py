@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import let
+
 
 # Why a page is chosen, the most urgent first, and what the summary table's page must say.
 REASONS = ("explicit_page", "cis_summary_table", "low_text", "image_heavy")
@@ -65,8 +68,10 @@ def matching_share(left: str, right: str, least: float) -> Column:
     @F.pandas_udf("double")
     def share(a: pd.Series, b: pd.Series) -> pd.Series:
         def one(x: str, y: str) -> float:
-            m = SequenceMatcher(None, x, y)
-            return m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0
+            n = len(x) + len(y)
+            if n and (2 * min(len(x), len(y)) / n < least or 2 * (Counter(x) & Counter(y)).total() / n < least):
+                return 0.0
+            return SequenceMatcher(None, x, y).ratio()
 
         return pd.Series([one(*t) for t in zip(a, b, strict=True)], dtype="float64")
 
@@ -74,15 +79,22 @@ def matching_share(left: str, right: str, least: float) -> Column:
 
 
 def base_text(pages: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(doc, page_number, base): text of the chunks that cover a page."""
-    j = pages.select("doc", "page_number").join(chunks, "doc", "left").where(F.col("page_number").between(F.col("page_start"), F.col("page_end")))
+    """(doc, page_number, base): text of the chunks that cover a page. A chunk's pages lie in two stretches at most of the next power
+    of two, which join by key with the stretches of that length that pages are in; the work grows with the pages that chunks cover."""
+    power = F.when(F.col("page_start") < F.col("page_end"), F.ceil(F.log2(F.col("page_end") - F.col("page_start") + 1))).otherwise(0).cast("int")
+    held = chunks.where(F.col("page_start") <= F.col("page_end")).withColumn("_power", power)
+    at = lambda c: F.expr(f"shiftright(cast({c} AS bigint), _power)")
+    placed = held.withColumn("_at", F.explode(F.array_distinct(F.array(at("page_start"), at("page_end")))))
+    asked = pages.select("doc", "page_number").crossJoin(F.broadcast(held.select("_power").distinct())).withColumn("_at", at("page_number"))  # powers: 64 at most
+    j = asked.join(placed, ["doc", "_power", "_at"]).where(F.col("page_number").between(F.col("page_start"), F.col("page_end")))
     return j.groupBy("doc", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_index", "text"))), lambda s: s["text"]), "\n").alias("base"))
 
 
 def accepted(candidates: DataFrame, least_chars: int = 40, share: float = 0.35, base_chars: int = 160, near: float = 0.75, alike: float = 0.97) -> DataFrame:
     """Supplements (text, base, and maybe ``reasons``) that are long enough, keep the labels of a summary table, share enough of
     their words with a base text of some length, and are not in it already. Texts are compared by their words."""
-    c = candidates.withColumn("_t", _words(F.col("text"))).withColumn("_b", _words(F.col("base"))).withColumn("_x", F.array_join("_t", " ")).withColumn("_y", F.array_join("_b", " "))
+    texts = let(F.struct(_words(F.col("text")).alias("_t"), _words(F.col("base")).alias("_b")), lambda w: F.struct(w["_t"], w["_b"], F.array_join(w["_t"], " ").alias("_x"), F.array_join(w["_b"], " ").alias("_y")))
+    c = candidates.select("*", F.inline(F.array(texts)))  # a row each: the conditions below, which use these often, are not moved before it
     own = F.size(F.array_distinct("_t"))
     agrees = (F.length("_y") < base_chars) | (F.size(F.array_intersect("_t", "_b")) >= share * F.greatest(own, F.lit(1)))
     labels = F.lit(True)

@@ -1,6 +1,8 @@
 """Plans whose shuffles and work grow with the input alone."""
 
-from corpusloom.operators import chunking
+import random
+
+from corpusloom.operators import chunking, supplements
 
 
 def plan(df, which="executedPlan"):
@@ -16,3 +18,35 @@ def test_parts_are_written_and_shuffled_once(spark, monkeypatch):
     assert "follows" not in seen["parts"]
     assert {r.doc_id for r in made.collect()} == {1, 2, 3}
     assert "SortMergeJoin" not in plan(made) and "BroadcastHashJoin" not in plan(made)
+
+
+def test_pages_meet_chunks_by_key(spark):
+    rng = random.Random(5)
+    chunks = [(d, i, f"t{i}", a, a + rng.choice([-1, 0, 0, 1, 2, 3, 7, 40])) for d in range(3) for i in range(30) for a in [rng.randrange(-3, 60)]]
+    chunks += [(0, 99, "none", None, 4), (0, 98, "none", 4, None), (None, 97, "none", 0, 9), (2, 96, "all", -(1 << 40), 1 << 40)]
+    pages = [(d, n) for d in range(4) for n in range(-2, 70, 3)] + [(None, 4), (1, None)]
+    found = supplements.base_text(spark.createDataFrame(pages, "doc int, page_number long"), spark.createDataFrame(chunks, "doc int, chunk_index int, text string, page_start long, page_end long"))
+    want = {}
+    for d, n in pages:
+        hit = sorted((i, t) for c, i, t, a, b in chunks if None not in (d, n, c, a, b) and c == d and a <= n <= b)
+        if hit:
+            want[d, n] = "\n".join(t for _, t in hit)
+    assert {(r.doc, r.page_number): r.base for r in found.collect()} == want
+    assert "_at" in plan(found).split("== Initial Plan ==")[0] and "_power" in plan(found)
+
+
+def test_words_of_supplements_are_cut_once(spark):
+    df = spark.createDataFrame([(1, "some words " * 9, "other words " * 30)], "k int, text string, base string")
+    assert plan(supplements.accepted(df), "optimizedPlan").count("regexp_extract_all") == 2
+
+
+def test_shares_are_those_of_difflib(spark):
+    from difflib import SequenceMatcher
+
+    rng = random.Random(7)
+    rows = [("", ""), ("a", ""), ("abc", "abc"), ("abc", "cba")] + [("".join(rng.choices("abcde ", k=300)),) * 2 for _ in range(3)] + [("".join(rng.choices("abcdefgh ", k=250)), "".join(rng.choices("abcdefgh ", k=250))) for _ in range(3)]
+    for least in (0.0, 0.6, 0.97):
+        got = spark.createDataFrame(rows, "a string, b string").select("a", "b", supplements.matching_share("a", "b", least).alias("s")).collect()
+        for a, b, s in got:
+            m = SequenceMatcher(None, a, b)
+            assert s == (m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
