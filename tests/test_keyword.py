@@ -45,3 +45,25 @@ def test_no_chunks_and_no_questions(spark):
     queries = spark.createDataFrame([(1, "words")], "query_id int, text string")
     assert keyword.bm25_top(chunks.limit(0), queries, 3).collect() == []
     assert keyword.bm25_top(chunks, queries.limit(0), 3).collect() == []
+
+
+def test_sums_of_a_chunk_are_made_where_its_blocks_lie(spark):
+    """Blocks are shuffled by part, and no row of a question and a chunk is."""
+    chunks = spark.createDataFrame([(f"c{i:04d}", f"the common text {i % 7}") for i in range(100)], "chunk_id string, text string")
+    asked = spark.createDataFrame([(1, "common", 1.0), (1, "3", 2.0), (2, "text", 1.0), (3, "none", 1.0)], "query_id int, term string, idf double")
+    blocks, _, _ = keyword.index(chunks, asked, "chunk_id", keyword.KeywordParams(block=2, levels=3))
+    found = keyword._sums(F.broadcast(asked), blocks)
+    assert found.groupBy("query_id").count().count() == 2 and found.count() == 200
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("hashpartitioning(") == 1 and "hashpartitioning(part" in plan
+
+
+def test_terms_are_counted_by_runs(spark):
+    chunks = spark.createDataFrame([("a", "b a b c B"), ("b", None), ("c", ""), ("d", "a")], "chunk_id string, text string")
+    asked = spark.createDataFrame([("b",), ("a",)], "term string")
+    df = keyword.postings(chunks, asked, "chunk_id", keyword.KeywordParams())
+    assert "array_remove" not in df._jdf.queryExecution().optimizedPlan().toString()
+    got = df.collect()
+    ids = {r.c: r.chunk_id for r in got if r.term is None}
+    want = {(None, "a", 5, None), (None, "b", 0, None), (None, "c", 0, None), (None, "d", 1, None), ("a", "a", 5, 1), ("b", "a", 5, 3), ("a", "d", 1, 1)}
+    assert {(r.term, ids[r.c], r.len, r.tf) for r in got} == want and len(got) == 7
