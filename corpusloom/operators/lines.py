@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, StructField, StructType
+
+from ..functions.text import let
 
 TOP, BOTTOM = 70.0, 750.0
 
@@ -107,15 +115,45 @@ def low_text_pages(lines: DataFrame, least: int = 30) -> DataFrame:
     return lines.groupBy("doc", "page_number").agg(F.sum(F.length("text")).alias("chars"), F.bool_or("has_image").alias("has_image")).where(F.col("has_image") & (F.col("chars") < least)).select("doc", "page_number", "chars")
 
 
+def _runs(rows: DataFrame, keys: list[str], values: tuple[str, ...]) -> DataFrame:
+    """Neighbouring rows of equal keys as one, with a list of each of ``values``; rows of a key may be in several."""
+    made = StructType([rows.schema[k] for k in keys] + [StructField(v, ArrayType(rows.schema[v].dataType)) for v in values])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            cols = {n: b.column(b.schema.get_field_index(n)) for n in (*keys, *values)}
+            new = np.ones(b.num_rows, bool)
+            new[1:] = ~np.logical_and.reduce([pc.fill_null(pc.equal(cols[k].slice(1), cols[k].slice(0, b.num_rows - 1)), False).to_numpy(zero_copy_only=False) for k in keys])
+            at = np.flatnonzero(new)
+            ends = pa.array(np.append(at, b.num_rows), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(cols[k].take(pa.array(at)) for k in keys), *(pa.ListArray.from_arrays(ends, cols[v]) for v in values)], [*keys, *values])
+
+    return rows.mapInArrow(run, made)
+
+
 def assemble_spans(spans: DataFrame) -> DataFrame:
     """(doc, page_number, line_no, text, font_size, is_bold) of spans (span_no, text, font_size, is_bold): texts end to
     end, the size with most characters (the first of equals), bold if any span with text is."""
     keys = ["doc", "page_number", "line_no"]
-    real = spans.where(F.trim("text") != "")
-    text = real.groupBy(*keys).agg(F.trim(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda s: s["text"]), "")).alias("text"), F.bool_or("is_bold").alias("is_bold"))
-    mass = real.groupBy(*keys, "font_size").agg(F.sum(F.length("text")).alias("m"), F.min("span_no").alias("f"))
-    size = mass.groupBy(*keys).agg(F.max_by("font_size", F.struct("m", -F.col("f"))).alias("font_size"))
-    return text.join(size, keys)
+    real = spans.where(F.trim("text") != "").select(*keys, "span_no", "text", "font_size", "is_bold")
+
+    def size(every: Column) -> Column:
+        """The spans are sorted by size; each run of one size is summed."""
+        at = F.filter(F.sequence(F.lit(0), F.size(every) - 1), lambda i: (i == 0) | ~F.get(every, i - 1)["s"].eqNullSafe(F.get(every, i)["s"]))
+        mass = lambda i, n: F.aggregate(F.slice(every, i + 1, n), F.lit(0).cast("long"), lambda m, x: m + x["n"])
+        run = lambda ats: F.transform(ats, lambda i, j: F.struct(mass(i, F.coalesce(F.get(ats, j + 1), F.size(every)) - i).alias("m"), (-F.get(every, i)["span_no"]).alias("f"), F.get(every, i)["s"].alias("s")))
+        return F.array_max(let(at, run))["s"]
+
+    # all of a line is made from one list, so that spans are shuffled once, as lists of those that stand together
+    values = ("span_no", "text", "font_size", "is_bold")
+    lists = _runs(real, keys, values).repartition(*keys).groupBy(*keys).agg(F.collect_list(F.struct(*values)).alias("all"))
+    lists = lists.select(*keys, *[F.flatten(f"all.{v}").alias(v) for v in values])
+    lists = lists.select(*keys, F.sort_array(F.arrays_zip("span_no", "text", "font_size")).alias("all"), F.array_max("is_bold").alias("is_bold"))
+    text = F.trim(F.array_join(F.transform("all", lambda s: s["text"]), "")).alias("text")
+    sizes = F.sort_array(F.transform("all", lambda x: F.struct(x["font_size"].alias("s"), x["span_no"].alias("span_no"), F.length(x["text"]).alias("n"))))
+    return lists.select(*keys, text, "is_bold", let(sizes, size).alias("font_size"))
 
 
 def without_overlaps(spans: DataFrame, share: float = 0.70) -> DataFrame:

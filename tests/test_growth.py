@@ -1,8 +1,11 @@
 """Plans whose shuffles and work grow with the input alone."""
 
 import random
+from collections import defaultdict
 
-from corpusloom.operators import chunking, supplements
+from pyspark.sql import functions as F
+
+from corpusloom.operators import chunking, lines, supplements
 
 
 def plan(df, which="executedPlan"):
@@ -20,6 +23,26 @@ def test_parts_are_written_and_shuffled_once(spark, monkeypatch):
     assert "SortMergeJoin" not in plan(made) and "BroadcastHashJoin" not in plan(made)
 
 
+def test_lines_are_assembled_by_one_shuffle(spark):
+    rng = random.Random(3)
+    rows = [(d, 1, n, s, rng.choice(["a", "bb", "ccc ", " ", "dddd"]), rng.choice([None, 8.0, 9.0, 10.0]), rng.choice([True, False, None])) for d in range(6) for n in range(5) for s in range(rng.randrange(9))]
+    rng.shuffle(rows)
+    made = lines.assemble_spans(spark.createDataFrame(rows, "doc int, page_number int, line_no int, span_no int, text string, font_size double, is_bold boolean"))
+    assert plan(made).split("== Initial Plan ==")[-1].count("Exchange") == 1
+    want = {}
+    held = defaultdict(list)
+    for r in sorted(rows, key=lambda r: r[:4]):
+        if r[4].strip():
+            held[r[:3]].append(r[3:])
+    for key, spans in held.items():
+        mass = defaultdict(int)
+        for _, text, size, _ in spans:
+            mass[size] += len(text)
+        bold = [b for *_, b in spans if b is not None]
+        want[key] = ("".join(t for _, t, _, _ in spans).strip(), max(mass, key=mass.get), any(bold) if bold else None)
+    assert {(r.doc, r.page_number, r.line_no): (r.text, r.font_size, r.is_bold) for r in made.collect()} == want
+
+
 def test_pages_meet_chunks_by_key(spark):
     rng = random.Random(5)
     chunks = [(d, i, f"t{i}", a, a + rng.choice([-1, 0, 0, 1, 2, 3, 7, 40])) for d in range(3) for i in range(30) for a in [rng.randrange(-3, 60)]]
