@@ -97,6 +97,11 @@ def token_estimate(c: Column) -> Column:
     return F.greatest(F.lit(1), F.floor(F.length(F.coalesce(c, F.lit(""))) / 4)).cast("long")
 
 
+def window_starts(c: Column, size: int, overlap: int) -> Column:
+    """Array of the places (from 0) at which the windows of a text begin. It needs the text's length alone."""
+    return F.when(F.length(c) <= size, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.length(c) - 1, F.lit(max(1, size - overlap))))
+
+
 def char_windows(c: Column, size: int, overlap: int) -> Column:
     """Array of windows; one window if the text fits. A tail inside the overlap still appears."""
     step = max(1, size - overlap)

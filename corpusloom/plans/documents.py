@@ -154,7 +154,8 @@ def c9_token_count(spark, sf_dir):
 (SELECT doc_id, text, unnest(CASE WHEN length(text) <= 1600 THEN [0] ELSE range(0, length(text), 1360) END) AS i FROM documents WHERE text IS NOT NULL)""")
 def c10_sliding_windows(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").where("text is not null")
-    return docs.select("doc_id", F.posexplode(fx.char_windows(F.col("text"), 1600, 240)).alias("window_no", "piece")).withColumn("window_no", F.col("window_no").cast("long"))
+    starts = docs.select("doc_id", "text", F.posexplode(fx.window_starts(F.col("text"), 1600, 240)).alias("window_no", "start"))
+    return starts.select("doc_id", F.col("window_no").cast("long").alias("window_no"), F.substring("text", F.col("start") + 1, F.lit(1600)).alias("piece"))
 
 
 SENTENCES = r"string_split(regexp_replace(text, '([.!?])\s+([A-Z(])', '\1' || chr(1) || '\2', 'g'), chr(1))"

@@ -239,7 +239,7 @@ def golden(spark, sf_dir) -> DataFrame:
     ids = F.when(d % 4 == 0, F.concat(F.lit("control"), two, F.lit("-safeguard1"))).when(d % 4 == 1, F.concat(F.lit("control"), two, F.lit("-overview"))).when(d % 4 == 2, "glossary-1").otherwise(F.concat(F.lit("x"), d.cast("string")))
     lead = F.when(d % 5 == 0, "How many ").when(d % 5 == 1, "What are ").when(d % 5 == 2, "How do ").otherwise("")
     j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "doc_id")
-    return j.select(d.alias("seq"), F.concat(lead, F.array_join(F.slice(F.split("text", " "), 1, 6), " ")).alias("query"), F.array(ids).alias("relevant_chunk_ids"), (F.col("quality") == 1).alias("verified"), F.when(F.col("toxic") == 0, F.col("source")).alias("provenance"), F.col("text").alias("reference_answer"))
+    return j.select(d.alias("seq"), F.concat(lead, F.array_join(F.slice(F.split("text", " ", 7), 1, 6), " ")).alias("query"), F.array(ids).alias("relevant_chunk_ids"), (F.col("quality") == 1).alias("verified"), F.when(F.col("toxic") == 0, F.col("source")).alias("provenance"), F.col("text").alias("reference_answer"))
 
 
 @query(f"WITH {GOLD_SQL}, c AS (SELECT *, relevant_chunk_ids[1] AS c FROM gold) SELECT seq, {SCOPE} AS scope, {CONTROL} AS control, {TYPE} AS answer_type FROM c")

@@ -5,7 +5,10 @@ from collections import defaultdict
 
 from pyspark.sql import functions as F
 
+from corpusloom.functions import text as fx
 from corpusloom.operators import chunking, lines, supplements
+from corpusloom.plans.documents import chunks
+from corpusloom.plans.history import golden
 
 
 def plan(df, which="executedPlan"):
@@ -73,3 +76,15 @@ def test_shares_are_those_of_difflib(spark):
         for a, b, s in got:
             m = SequenceMatcher(None, a, b)
             assert s == (m.ratio() if m.real_quick_ratio() >= least and m.quick_ratio() >= least else 0.0)
+
+
+def test_chunk_ids_cut_no_texts_and_questions_no_whole_text(spark, sf_dir):
+    """Of g12: ids need the length of a text, a question its first six words."""
+    assert "substring" in plan(chunks(spark, sf_dir), "optimizedPlan")
+    assert "substring" not in plan(chunks(spark, sf_dir).select("doc_id", "chunk_index"), "optimizedPlan")
+    assert ",  , 7)" in plan(golden(spark, sf_dir).select("query"), "optimizedPlan")
+    texts = ["", "x", "é" * 1600, "ab" * 801, "漢字é" * 1000, " a  b c d e f g ", " " * 9, "one two three four five six", "a b c d e f  "]
+    df = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string")
+    got = df.select("text", fx.char_windows(F.col("text"), 1600, 240).alias("w"), fx.window_starts(F.col("text"), 1600, 240).alias("s"), F.slice(F.split("text", " "), 1, 6).alias("a"), F.slice(F.split("text", " ", 7), 1, 6).alias("b")).collect()
+    for r in got:
+        assert r.w == (None if r.s is None else [r.text[i : i + 1600] for i in r.s]) and r.a == r.b
