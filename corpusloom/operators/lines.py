@@ -178,9 +178,12 @@ def without_overlaps(spans: DataFrame, share: float = 0.70) -> DataFrame:
     # a box without a right edge, or without a number on the left, may meet any other
     odd = F.isnan("x0")
     left = F.when(odd, F.lit(float("-inf"))).otherwise(F.col("x0"))
-    flat = (F.col("y1") <= F.col("y0")) & ~F.isnan("y0")  # meets none; boxes are read in full on both ways below, which then share one shuffle
+    flat = (F.col("y1") <= F.col("y0")) & ~F.isnan("y0")  # meets none
     right = F.when(flat, F.lit(float("-inf"))).when(odd, F.lit(float("inf"))).otherwise(F.coalesce("x1", F.lit(float("inf"))))
-    placed = spans.where(F.trim("text") != "").withColumn("_left", left).withColumn("_far", F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    # Spans are shuffled once, as lists of those that stand together; the windows, the runs and both ways below find them dealt by line.
+    lists = _runs(spans.where(F.trim("text") != "").select(*keys, *cols), keys, tuple(cols)).repartition(*keys)
+    dealt = lists.select(*keys, F.inline(F.arrays_zip(*cols)))
+    placed = dealt.withColumn("_left", left).withColumn("_far", F.max(right).over(w.rowsBetween(Window.unboundedPreceding, -1)))
     opens = placed.withColumn("_new", F.coalesce(F.col("_left") >= F.col("_far"), F.col("_far").isNull()))
     runs = opens.withColumn("_alone", F.col("_new") & F.lead("_new", 1, True).over(w)).withColumn("_run", F.sum(F.col("_new").cast("long")).over(w))
     met = runs.where("not _alone").groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct(*cols))).alias("all"))
